@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from strataloom.plans import parse_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (parse_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

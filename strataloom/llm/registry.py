@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.llm import copies_queries, encode_queries, packing_queries, pii_queries, quality_queries, splitting_queries
+from strataloom.llm import copies_queries, encode_queries, neighbours_queries, packing_queries, pii_queries, quality_queries, splitting_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (copies_queries, encode_queries, packing_queries, pii_queries, quality_queries, splitting_queries):
+for _module in (copies_queries, encode_queries, neighbours_queries, packing_queries, pii_queries, quality_queries, splitting_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})

@@ -45,6 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever their working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads on from there; losing an executor recomputes nothing before it."""
     ensure_checkpoint_dir(df.sparkSession)

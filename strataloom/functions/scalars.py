@@ -87,7 +87,11 @@ def numeric_first(identifier: Column) -> list[Column]:
     return [number.isNull(), number, identifier]
 
 
-def fingerprint(columns: list[Column]) -> Column:
-    """An aggregate over rows that does not depend on their order and changes with any value: count and sum of hashes."""
-    h = F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)
-    return F.concat_ws(":", F.count("*").cast("string"), F.sum(F.conv(F.substring(h, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string"))
+def row_digest(columns: list[Column]) -> Column:
+    """A digest of a row's values."""
+    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)
+
+
+def fingerprint(digest: Column) -> Column:
+    """An aggregate over row digests that does not depend on their order and changes with any value: count and sum."""
+    return F.concat_ws(":", F.count("*").cast("string"), F.sum(F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string"))

@@ -8,7 +8,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.scalars import chunk_hash, chunk_id, words
+from strataloom.functions.scalars import WHITE, chunk_hash, chunk_id, words
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,13 @@ def chunk_documents(df: DataFrame, strategy: ChunkStrategy) -> DataFrame:
         raise ValueError(f"documents lack {lacking}")
     version = F.col("doc_version") if "doc_version" in df.columns else F.lit(1)
     flag = F.col("pii_masked_flag") if "pii_masked_flag" in df.columns else F.lit(False)
-    tokens = df.select("doc_id", version.alias("doc_version"), flag.alias("pii_masked_flag"), words(F.col("text")).alias("tokens")).filter("size(tokens) > 0")
-    parts = tokens.select("*", F.posexplode(window_starts(F.size("tokens"), strategy)).alias("chunk_index", "token_start"))
-    taken = F.slice("tokens", F.col("token_start") + 1, F.lit(strategy.chunk_size_tokens))
-    text = F.array_join(taken, " ")
+    spoken = F.col("text").rlike(f"[^{WHITE}]")  # cheaper than splitting twice
+    tokens = df.filter(spoken).select("doc_id", version.alias("doc_version"), flag.alias("pii_masked_flag"), words(F.col("text")).alias("tokens"))
+    size = F.lit(strategy.chunk_size_tokens)
+    cut = lambda i: F.slice("tokens", i + 1, size)
+    windows = F.transform(window_starts(F.size("tokens"), strategy), lambda i: F.struct(i.alias("token_start"), F.size(cut(i)).alias("n_tokens"), F.array_join(cut(i), " ").alias("chunk_text")))
+    parts = tokens.select("doc_id", "doc_version", "pii_masked_flag", F.posexplode(windows).alias("chunk_index", "w")).select("*", "w.*")  # windows leave, the token list stays
+    text = F.col("chunk_text")
     return parts.select(
-        chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "doc_version", "chunk_index", "token_start", F.size(taken).alias("n_tokens"), text.alias("chunk_text"),
+        chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "doc_version", "chunk_index", "token_start", "n_tokens", "chunk_text",
         chunk_hash(text, F.lit(strategy.version)).alias("chunk_hash"), F.lit(strategy.strategy_name).alias("strategy_name"), F.lit(strategy.version).alias("strategy_version"), F.lit(strategy.tokenizer).alias("tokenizer_name"), "pii_masked_flag")

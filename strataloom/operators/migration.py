@@ -17,20 +17,23 @@ from strataloom.functions.scalars import batches, planned_tokens
 
 
 def source_rows(vectors: DataFrame, chunks: DataFrame, model_name: str, model_version: str, strategy_name: str | None = None) -> DataFrame:
-    """Active vectors of a model, and of a strategy if one is named, with their chunk's text."""
+    """Active vectors of a model, and of a strategy if one is named, with what chunks holds besides: text, or sizes of it."""
     active = vectors.filter("active").filter((F.col("model_name") == model_name) & (F.col("model_version") == model_version)).select("vector_id", "chunk_id")
-    own = chunks.select("chunk_id", "chunk_text", "strategy_name")
+    own = chunks.select("chunk_id", "strategy_name", *(c for c in ("chunk_text", "characters", "tokens") if c in chunks.columns))
     if strategy_name is not None:
         own = own.filter(F.col("strategy_name") == strategy_name)
     return active.join(own, "chunk_id")
 
 
 def plan_totals(rows: DataFrame, batch_size: int = 64, rate_per_second: float = 1.0) -> DataFrame:
-    """(total_vectors, total_characters, estimated_tokens, batches, duration_seconds); null texts count as empty."""
+    """(total_vectors, total_characters, estimated_tokens, batches, duration_seconds); null texts count as empty.
+
+    rows hold chunk_text, or characters and tokens computed before a join."""
     if batch_size < 1 or rate_per_second <= 0:
         raise ValueError("batch size and rate must be positive")
-    text = F.coalesce("chunk_text", F.lit(""))
-    sums = rows.agg(F.count("*").alias("total_vectors"), F.coalesce(F.sum(F.char_length(text)), F.lit(0)).alias("total_characters"), F.coalesce(F.sum(planned_tokens(text)), F.lit(0)).alias("estimated_tokens"))
+    text = F.coalesce("chunk_text", F.lit("")) if "chunk_text" in rows.columns else None
+    characters, tokens = (F.col("characters"), F.col("tokens")) if text is None else (F.char_length(text), planned_tokens(text))
+    sums = rows.agg(F.count("*").alias("total_vectors"), F.coalesce(F.sum(characters), F.lit(0)).alias("total_characters"), F.coalesce(F.sum(tokens), F.lit(0)).alias("estimated_tokens"))
     return sums.withColumn("batches", batches(F.col("total_vectors"), batch_size)).withColumn("duration_seconds", F.col("batches") / F.lit(float(rate_per_second)))
 
 

@@ -18,10 +18,13 @@ STRATEGY = chunking.ChunkStrategy("fixed_size_v1", "1.0.0", 300, 30)
 MODEL = ("velar-small", "1.0.0")
 
 
-def once(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
-    """A growing table with one row for each key, the first delivery; only the asked columns travel."""
+def once(spark: SparkSession, folder: str, name: str, columns: list[str], **derived) -> DataFrame:
+    """A growing table with one row for each key, the first delivery.
+
+    Only the asked columns travel; what is derived from texts is computed before the shuffle, so the texts stay put."""
     keys = KEYS[name]
-    return C.latest(table(spark, folder, name).select(*dict.fromkeys([*keys, *columns, "loaded_at"])), keys)
+    kept = [c for c in dict.fromkeys([*keys, *columns, "loaded_at"]) if c not in derived]
+    return C.latest(table(spark, folder, name).select(*kept, *(c.alias(n) for n, c in derived.items())), keys)
 
 
 def _vectors(spark, folder, *extra):
@@ -70,8 +73,8 @@ _ERRORS = f"""
 
 
 def _checked(spark, folder):
-    docs = once(spark, folder, "document_records", ["title", "text", "metadata"])
-    return contract.validate(docs).select("doc_id", "doc_version", F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["rule"])).alias("errors"))
+    errors = F.transform(contract.errors(), lambda e: F.concat_ws(":", e["field"], e["rule"]))
+    return once(spark, folder, "document_records", [], errors=errors).select("doc_id", "doc_version", "errors")
 
 
 @query(f"SELECT doc_id, doc_version, unnest(errors) AS error FROM ({_ERRORS})")
@@ -103,8 +106,9 @@ _WINDOWS = f"""
 @query(_WINDOWS)
 def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Sliding windows of 300 tokens that share 30, over every record."""
-    docs = once(spark, folder, "document_records", ["text"])
-    return chunking.chunk_documents(docs, STRATEGY).select("chunk_id", "doc_version", F.col("chunk_index").cast("bigint"), F.col("token_start").cast("bigint"), F.col("n_tokens").cast("bigint"), "chunk_hash")
+    chunks = chunking.chunk_documents(table(spark, folder, "document_records").select("doc_id", "doc_version", "text"), STRATEGY)
+    # deliveries of a record carry the same text; their equal windows meet by hash, without the texts
+    return chunks.select("chunk_id", "doc_version", F.col("chunk_index").cast("bigint"), F.col("token_start").cast("bigint"), F.col("n_tokens").cast("bigint"), "chunk_hash").distinct()
 
 
 @query(f"SELECT count(*) AS chunks, sum(n_tokens)::BIGINT AS tokens, max(chunk_index) + 1 AS most FROM ({_WINDOWS})")
@@ -115,19 +119,17 @@ def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT CASE WHEN content_hash IS NULL THEN 'null' WHEN text IS NULL THEN 'no_text' WHEN content_hash = sha256(text) THEN 'ok' WHEN lower(content_hash) = sha256(text) THEN 'letter_case' ELSE 'differs' END AS state, count(*) AS n FROM {DOCS} GROUP BY 1""")
 def content_hash(spark: SparkSession, folder: str) -> DataFrame:
     """How the stored content hashes compare with the texts."""
-    docs = once(spark, folder, "document_records", ["text", "content_hash"])
     h = F.sha2("text", 256)
     state = F.when(F.col("content_hash").isNull(), "null").when(F.col("text").isNull(), "no_text").when(F.col("content_hash") == h, "ok").when(F.lower("content_hash") == h, "letter_case").otherwise("differs")
-    return docs.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return once(spark, folder, "document_records", [], state=state).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT strategy_version, CASE WHEN chunk_hash IS NULL THEN 'null' WHEN chunk_text IS NULL THEN 'no_text' WHEN chunk_hash = sha256(chunk_text || strategy_version) THEN 'ok' WHEN lower(chunk_hash) = sha256(chunk_text || strategy_version) THEN 'letter_case' ELSE 'differs' END AS state, count(*) AS n FROM {CHUNKS} GROUP BY 1, 2""")
 def chunk_hash(spark: SparkSession, folder: str) -> DataFrame:
     """How the stored chunk hashes compare with text and strategy version."""
-    chunks = _chunks(spark, folder, "chunk_text", "chunk_hash", "strategy_version")
     h = S.chunk_hash(F.col("chunk_text"), F.col("strategy_version"))
     state = F.when(F.col("chunk_hash").isNull(), "null").when(F.col("chunk_text").isNull(), "no_text").when(F.col("chunk_hash") == h, "ok").when(F.lower("chunk_hash") == h, "letter_case").otherwise("differs")
-    return chunks.groupBy("strategy_version", state.alias("state")).agg(F.count("*").alias("n"))
+    return once(spark, folder, "chunks", ["strategy_version"], state=state).groupBy("strategy_version", "state").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT lower(chunk_hash) AS chunk_hash, min(chunk_id) AS first_chunk_id, count(*) AS copies FROM {CHUNKS} WHERE chunk_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -140,8 +142,8 @@ def dedupe_chunk_hash(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT doc_id, doc_version, title, metadata.source_uri AS source_uri, metadata.author AS author, metadata.classification_level AS classification_level, metadata.language AS language, sha256(text) AS content_hash FROM {DOCS}")
 def document_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Catalog rows out of the governed envelope."""
-    docs = once(spark, folder, "document_records", ["title", "text", "metadata"])
-    return docs.select("doc_id", "doc_version", "title", "metadata.source_uri", "metadata.author", "metadata.classification_level", "metadata.language", F.sha2("text", 256).alias("content_hash"))
+    docs = once(spark, folder, "document_records", ["title", "metadata"], content_hash=F.sha2("text", 256))
+    return docs.select("doc_id", "doc_version", "title", "metadata.source_uri", "metadata.author", "metadata.classification_level", "metadata.language", "content_hash")
 
 
 _UUID = """substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||CASE substr(h,17,1) WHEN '0' THEN '8' WHEN '4' THEN '8' WHEN '8' THEN '8' WHEN 'c' THEN '8' WHEN '1' THEN '9' WHEN '5' THEN '9' WHEN '9' THEN '9' WHEN 'd' THEN '9' WHEN '2' THEN 'a' WHEN '6' THEN 'a' WHEN 'a' THEN 'a' WHEN 'e' THEN 'a' ELSE 'b' END||substr(h,18,3)||'-'||substr(h,21,12)"""
@@ -291,7 +293,8 @@ def stale_active_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _source(spark, folder):
-    return migration.source_rows(_vectors(spark, folder), _chunks(spark, folder, "chunk_text", "strategy_name"), *MODEL, "fixed_size_v1")
+    sizes = dict(characters=F.char_length(F.coalesce("chunk_text", F.lit(""))), tokens=S.planned_tokens(F.coalesce("chunk_text", F.lit(""))))
+    return migration.source_rows(_vectors(spark, folder), once(spark, folder, "chunks", ["strategy_name"], **sizes), *MODEL, "fixed_size_v1")
 
 
 _SOURCE = f"(SELECT v.vector_id, v.chunk_id, c.chunk_text FROM {VECTORS} v JOIN {CHUNKS} c ON v.chunk_id = c.chunk_id WHERE v.active AND v.model_name = 'velar-small' AND v.model_version = '1.0.0' AND c.strategy_name = 'fixed_size_v1')"
@@ -344,8 +347,8 @@ def rollback_active_flags(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT strategy_name, count(*)::VARCHAR || ':' || sum(('0x' || substr(sha256(chunk_id || chr(31) || coalesce(chunk_hash, chr(0)) || chr(31) || coalesce(chunk_text, chr(0))), 1, 12))::BIGINT)::DECIMAL(38,0)::VARCHAR AS fingerprint FROM {CHUNKS} GROUP BY 1""")
 def chunk_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """A fingerprint of each strategy's chunks that does not depend on their order."""
-    chunks = _chunks(spark, folder, "strategy_name", "chunk_hash", "chunk_text")
-    return chunks.groupBy("strategy_name").agg(S.fingerprint([F.col("chunk_id"), F.col("chunk_hash"), F.col("chunk_text")]).alias("fingerprint"))
+    digest = S.row_digest([F.col("chunk_id"), F.col("chunk_hash"), F.col("chunk_text")])
+    return once(spark, folder, "chunks", ["strategy_name"], digest=digest).groupBy("strategy_name").agg(S.fingerprint(F.col("digest")).alias("fingerprint"))
 
 
 # routing and events -------------------------------------------------------------------------------------------------
@@ -399,17 +402,17 @@ def sanitize_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Records with title and text redacted by the fixed patterns, flag and counts."""
     from strataloom.operators.sanitize import sanitize_documents as redact
 
-    docs = once(spark, folder, "document_records", ["title", "text"])
-    return redact(docs).select("doc_id", "doc_version", "pii_masked_flag", F.to_json("redaction_counts").alias("redaction_counts"), F.sha2("text", 256).alias("content_hash"))
+    done = redact(table(spark, folder, "document_records").select("doc_id", "doc_version", "title", "text"))
+    return done.select("doc_id", "doc_version", "pii_masked_flag", F.to_json("redaction_counts").alias("redaction_counts"), F.sha2("text", 256).alias("content_hash")).distinct()
 
 
 @query()
 def sanitize_totals(spark: SparkSession, folder: str) -> DataFrame:
     """How many items of each category the records hold."""
     from strataloom.operators.sanitize import redaction_totals
-    from strataloom.operators.sanitize import sanitize_documents as redact
 
-    return redaction_totals(redact(once(spark, folder, "document_records", ["title", "text"])))
+    counts = F.from_json("redaction_counts", "map<string,int>")
+    return redaction_totals(sanitize_documents(spark, folder).withColumn("redaction_counts", counts))
 
 
 _PLAIN = {"ssn_like": r"\b[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}\b", "keyed_id": r"(?i)\b(?:national[ _-]*id|identity[ _-]*number|tax[ _-]*id|ssn) *[:=] *[A-Z0-9][A-Z0-9-]{5,19}\b", "aws_access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "provider_token": r"\b(?:sk|pk)-[A-Za-z0-9_-]{16,}\b"}
@@ -418,5 +421,5 @@ _PLAIN = {"ssn_like": r"\b[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}\b", "keyed_id": r"(?i
 @query(" UNION ALL ".join(f"SELECT '{n}' AS pattern, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS n FROM {DOCS}" for n, p in _PLAIN.items()))
 def pii_counts_simple(spark: SparkSession, folder: str) -> DataFrame:
     """Matches of the patterns that need no look-around, by built-in functions."""
-    docs = once(spark, folder, "document_records", ["text"])
-    return docs.agg(*(F.sum(F.regexp_count("text", F.lit(p))).alias(n) for n, p in _PLAIN.items())).unpivot([], list(_PLAIN), "pattern", "n")
+    counts = once(spark, folder, "document_records", [], **{n: F.regexp_count("text", F.lit(p)) for n, p in _PLAIN.items()})
+    return counts.agg(*(F.sum(n).alias(n) for n in _PLAIN)).unpivot([], list(_PLAIN), "pattern", "n")

@@ -74,6 +74,17 @@ class Service:
         return migration.plan_totals(rows, batch_size, rate).first().asDict()
 
 
+def quality_gate(store: DataFrame, queries: DataFrame, qrels: DataFrame, baseline: str, candidate: str, recall_tolerance: float = 0.02) -> dict:
+    """Whether a candidate collection ranks as well as the baseline; queries: (query_id, vector by collection's length)."""
+    from strataloom.operators import evaluation
+
+    rows = []
+    for name in (baseline, candidate):
+        hits = search.top_k(store.filter(F.col("collection_name") == name), queries, 10)
+        rows.append(evaluation.macro(evaluation.query_metrics(qrels, hits.select("query_id", F.col("item_id").alias("doc_id"), "rank"))))
+    return evaluation.gate(*rows, recall_tolerance).first().asDict()
+
+
 def main(argv: list[str] | None = None) -> int:
     """strataloom: lineage ID | staleness MODEL VERSION | status | plan MODEL VERSION | cutover OFF ON, on a catalog folder."""
     from strataloom.session import build_session

@@ -95,3 +95,25 @@ def row_digest(columns: list[Column]) -> Column:
 def fingerprint(digest: Column) -> Column:
     """An aggregate over row digests that does not depend on their order and changes with any value: count and sum."""
     return F.concat_ws(":", F.count("*").cast("string"), F.sum(F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string"))
+
+
+def migration_id() -> Column:
+    """mig_ and twelve random hexadecimal digits."""
+    return F.concat(F.lit("mig_"), F.substring(F.regexp_replace(F.uuid(), "-", ""), 1, 12))
+
+
+def ranking_id(id_: Column, doc_id: Column, document_id: Column) -> Column:
+    """An item's id under the first of the three names that is set."""
+    return F.coalesce(id_, doc_id, document_id)
+
+
+def fault(key: Column, fail_rate: float) -> Column:
+    """A fault drawn by hash: rate_limit, connection or malformed in equal parts of fail_rate, else null."""
+    kind = traffic_bucket(F.concat(key, F.lit(":kind"))) / 1000
+    drawn = F.when(kind < 1 / 3, "rate_limit").when(kind < 2 / 3, "connection").otherwise("malformed")
+    return F.when(traffic_bucket(F.concat(key, F.lit(":fault"))) / 1000 < fail_rate, drawn)
+
+
+def backoff_seconds(attempt: Column, base: float, chance: Column) -> Column:
+    """base * 2^attempt * (0.5 + chance), chance from 0 to 1."""
+    return F.lit(base) * F.pow(F.lit(2.0), attempt) * (F.lit(0.5) + chance)

@@ -105,3 +105,37 @@ def with_retries(batch: Callable[[], int], attempts: int = 4, open_after: int =
                 raise RuntimeError(f"gave up after {failed} attempts") from error
             wait(attempt)
     raise RuntimeError("no attempts allowed")
+
+
+def find_model(models: DataFrame, name: str, version: str | None = None) -> dict:
+    """The one model of that full or short name, and version if one is given; KeyError if none or several fit."""
+    from strataloom.functions.scalars import short_model_name
+
+    fits = models.filter((F.col("model_name") == name) | (short_model_name(F.col("model_name")) == name))
+    if version is not None:
+        fits = fits.filter(F.col("model_version") == version)
+    rows = fits.limit(2).collect()
+    if len(rows) != 1:
+        raise KeyError(f"{len(rows)} models fit {name} {version or ''}")
+    return rows[0].asDict()
+
+
+def fault_ledger(batches_: DataFrame, key: str, fail_rate: float) -> DataFrame:
+    """A batch ledger with a fault drawn for each batch."""
+    from strataloom.functions.scalars import fault
+
+    return batches_.withColumn("fault", fault(F.col(key), fail_rate))
+
+
+def apply(catalog, source: tuple[str, str], target: tuple[str, str], collection: str, migration: str, embed: Callable[[list[str]], np.ndarray], dimensions: int, strategy_name: str | None = None, batch_size: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Embeds what a source model's active vectors need in a target collection: (vectors, progress).
+
+    Chunks that the collection holds are left out, so a broken run goes on; the catalog gets inactive rows at once."""
+    chunks = catalog.table("chunks")
+    rows = source_rows(catalog.table("vectors"), chunks, *source, strategy_name)
+    due = due_chunks(chunks, rows, catalog.table("vectors"), collection).select("chunk_id", "chunk_text").cache()
+    catalog.insert("vectors", shadow_vectors(due, migration, *target, collection, dimensions))
+    vectors = embed_chunks(due, embed, dimensions)
+    number = F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("chunk_id"), F.lit(64))).orderBy("chunk_id")) - 1) / batch_size)
+    ledger = due.select(number.alias("batch_no"), F.lit(migration).alias("migration_id")).groupBy("migration_id", "batch_no").agg(F.count("*").alias("rows"), F.lit(0).cast("bigint").alias("errors"))
+    return vectors, progress(ledger)

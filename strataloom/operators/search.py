@@ -98,3 +98,17 @@ def shadow_overlap(live: DataFrame, shadow: DataFrame) -> DataFrame:
     """(query_id, shared, live_only, shadow_only) of two rankings."""
     both = live.select("query_id", "item_id", F.lit(1).alias("l")).join(shadow.select("query_id", "item_id", F.lit(1).alias("s")), ["query_id", "item_id"], "full_outer")
     return both.groupBy("query_id").agg(F.count_if(F.col("l").isNotNull() & F.col("s").isNotNull()).alias("shared"), F.count_if(F.col("s").isNull()).alias("live_only"), F.count_if(F.col("l").isNull()).alias("shadow_only"))
+
+
+def collection_violations(store: DataFrame, by: str = "collection_name") -> DataFrame:
+    """(by, no_vector, wrong_length, vectors): what of each collection cannot be searched."""
+    n = F.size("embedding")
+    return store.groupBy(by).agg(F.count_if(F.col("embedding").isNull()).alias("no_vector"), F.count_if(F.col("embedding").isNotNull() & (n != F.col("dimension"))).alias("wrong_length"), F.count("*").alias("vectors"))
+
+
+def verify_collection(store: DataFrame, name: str, dimensions: int, metric: str = "Cosine") -> None:
+    """An error unless every vector of a collection has the wanted length and its metric is the wanted one."""
+    own = store.filter(F.col("collection_name") == name)
+    bad = own.filter((F.col("dimension") != dimensions) | (F.col("distance_metric") != metric)).limit(1).collect()
+    if bad:
+        raise ValueError(f"{name} holds vectors of {bad[0].dimension} dimensions by {bad[0].distance_metric}")

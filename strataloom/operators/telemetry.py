@@ -31,9 +31,10 @@ def bucket_quantile(buckets: DataFrame, by: list[str], q: float) -> DataFrame:
     return hit.select(*by, F.when(F.col("le") == float("inf"), F.col("low")).otherwise(inside).alias("value"))
 
 
-def rate(df: DataFrame, time: str, by: list[str], minutes: int = 1) -> DataFrame:
-    """(window_start, by, per_second) over tumbling windows; the same expression serves batch and stream."""
-    counted = df.groupBy(F.window(time, f"{minutes} minutes"), *by).agg(F.count("*").alias("n"))
+def rate(df: DataFrame, time: str, by: list[str], minutes: int = 1, slide: int | None = None) -> DataFrame:
+    """(window_start, by, n, per_second) over windows that tumble or slide; the same expression serves batch and stream."""
+    window = F.window(time, f"{minutes} minutes", f"{slide or minutes} minutes")
+    counted = df.groupBy(window, *by).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), *by, "n", (F.col("n") / (60.0 * minutes)).alias("per_second"))
 
 

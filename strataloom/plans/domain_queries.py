@@ -394,6 +394,24 @@ def facet_errors(spark: SparkSession, folder: str) -> DataFrame:
     return check(bare).select(F.col("distance_metric").alias("metric"), F.explode("facet_errors").alias("error")).groupBy("metric", "error").agg(F.count("*").alias("n"))
 
 
+_PART = "list_reduce(list_prepend(0::BIGINT, list_transform(range(0,8), lambda i: ('0x'||substr(sha256(q || '{0}'),CAST(i*8+1 AS INTEGER),8))::BIGINT)), lambda a,v: (a*296+v)%1000) / 1000.0"
+
+
+@query(f"""SELECT fault, count(*) AS n FROM (SELECT CASE WHEN {_PART.format(':fault')} < 0.3 THEN CASE WHEN {_PART.format(':kind')} < 1.0/3 THEN 'rate_limit' WHEN {_PART.format(':kind')} < 2.0/3 THEN 'connection' ELSE 'malformed' END END AS fault FROM (SELECT vector_id AS q FROM {VECTORS})) GROUP BY 1""")
+def fault_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults drawn for the writes of a migration, by kind."""
+    return migration.fault_ledger(once(spark, folder, "vectors", []), "vector_id", 0.3).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT collection_name, count(*) FILTER (embedding IS NULL) AS no_vector, count(*) FILTER (embedding IS NOT NULL AND len(embedding) <> dimension) AS wrong_length, count(*) AS vectors FROM {VECTORS} GROUP BY 1")
+def collection_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of each collection that cannot be searched."""
+    from strataloom.operators.search import collection_violations as check
+
+    v = once(spark, folder, "vectors", ["collection_name", "dimension"], embedding=F.when(F.col("embedding").isNotNull(), F.array_repeat(F.lit(0), F.size("embedding"))))
+    return check(v)
+
+
 # redaction ----------------------------------------------------------------------------------------------------------
 
 

@@ -219,6 +219,19 @@ def request_rate_1m(spark: SparkSession, folder: str) -> DataFrame:
     return _rates(telemetry.rate(table(spark, folder, "events"), "ts", ["event_type"]))
 
 
+@query("""SELECT epoch(w)::BIGINT AS window_start, event_type, count(*) AS n, round(count(*) / 300.0, 6) AS per_second FROM (SELECT event_type, time_bucket(INTERVAL '1 minute', ts) - to_minutes(i) AS w FROM events, range(5) r(i)) GROUP BY 1, 2""")
+def request_rate_5m(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests a second over five minutes, from minute to minute."""
+    return _rates(telemetry.rate(table(spark, folder, "events"), "ts", ["event_type"], 5, 1))
+
+
+@query("""SELECT 'events_total{model="' || m || '",type="' || event_type || '"} ' || count(*) AS line FROM (SELECT event_type, (props->>'$.k')::INTEGER % 4 AS m FROM events) GROUP BY event_type, m""")
+def metrics_exposition(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters in the text format that scrapers read."""
+    counted = counters(spark, folder).select(F.lit("events_total").alias("name"), F.create_map(F.lit("type"), "event_type", F.lit("model"), F.col("model").cast("string")).alias("labels"), F.col("requests").alias("value"))
+    return telemetry.exposition(counted)
+
+
 @query(ORACLES["request_rate_1m"])
 def streaming_rate(spark: SparkSession, folder: str) -> DataFrame:
     """The same rates out of a stream over the event files."""

@@ -92,6 +92,32 @@ def test_migration_seed(spark, seeded):
         migration.with_retries(lambda: 5, fault=lambda a: ConnectionError())
 
 
+def test_apply_goes_on_where_it_broke(spark, seeded):
+    embed = migration.hash_embedder(8)
+    vectors, progress = migration.apply(seeded, ("bge-small", "2.0.0"), ("bge-small", "1.0.0"), "next", "mig_2", embed, 8)
+    assert vectors.count() == 1 and progress.first().migrated == 1 and seeded.table("vectors").filter("collection_name = 'next' and not active").count() == 1
+    assert migration.apply(seeded, ("bge-small", "2.0.0"), ("bge-small", "1.0.0"), "next", "mig_3", embed, 8)[0].count() == 0
+    assert migration.find_model(seeded.table("embedding_models"), "bge-small", "2.0.0")["provider"] == "fastembed"
+    for args in (("bge-small",), ("none",)):
+        with pytest.raises(KeyError):
+            migration.find_model(seeded.table("embedding_models"), *args)
+    store = spark.createDataFrame([("a", "x", 2, "Cosine"), ("b", "x", 3, "Cosine")], "item_id string, collection_name string, dimension int, distance_metric string")
+    with pytest.raises(ValueError):
+        search.verify_collection(store, "x", 2)
+    search.verify_collection(store, "y", 2)
+
+
+def test_gate_between_collections(spark):
+    from strataloom.api import quality_gate
+
+    store = spark.createDataFrame([("a", "old", [1.0, 0.0]), ("b", "old", [0.0, 1.0]), ("a", "new", [1.0, 0.1]), ("b", "new", [0.9, 1.0])], "item_id string, collection_name string, vector array<double>")
+    queries = spark.createDataFrame([("q", [0.2, 1.0])], "query_id string, vector array<double>")
+    qrels = spark.createDataFrame([("q", "b")], "query_id string, doc_id string")
+    assert quality_gate(store, queries, qrels, "old", "new")["passed"]
+    swapped = store.withColumn("item_id", F.when(F.col("collection_name") == "old", F.col("item_id")).otherwise(F.translate("item_id", "ab", "ba")))
+    assert not quality_gate(swapped, queries, qrels, "old", "new")["passed"]
+
+
 def test_bootstrap_twice(spark, tmp_path):
     meta = ("u", "a", "public", "en")
     records = spark.createDataFrame([("d1", "T", "mail a@b.co " + "w " * 12, meta), ("d2", "T", "x y", meta), ("d3", None, "x", meta)], DOCUMENT)

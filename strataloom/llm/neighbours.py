@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from strataloom.session import cut_lineage
 
 KEEP, JOINED, GROUP, BLOCK, ROUNDS = 14, 10, 28, 8192, 2
+DEGREE = 48  # links of a node that a search follows, either way, the most similar ones
 CELL_NODES, MOST_CELLS, SAMPLE, MOST_GROUPS = 1600, 1024, 16_384, 10_000
 RING = 1000  # copies of one vector that are ordered together
 MARGIN = 0.02  # how far a one-byte cosine may be off
@@ -403,8 +404,10 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int
     entry = hashed.withColumn("r", spread).filter(F.col("r") <= starts)
     entry = entry.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("r", "h"))).filter(F.col("r") <= starts).select("grp", "node")  # 256 * starts a group at most
     asked = cut_lineage(queries.select("query", "grp", F.col("vec").alias("qv")))
-    both = graph.select(F.col("node").alias("u"), F.col("nbrs").alias("seen")).unionByName(graph.select(F.explode("nbrs").alias("u"), F.array("node").alias("seen")))
-    links = cut_lineage(both.groupBy("u").agg(F.slice(F.array_distinct(F.flatten(F.collect_list("seen"))), 1, 64).alias("links")))
+    edges = graph.select(F.col("node").alias("u"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("u", F.col("e.nbrs").alias("v"), F.col("e.sims").alias("sim"))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).distinct()
+    nearest = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))  # limited before the shuffle, so a hub is no large group
+    links = cut_lineage(both.withColumn("r", nearest).filter(F.col("r") <= DEGREE).groupBy("u").agg(F.collect_list("v").alias("links")))
     found = asked.join(F.broadcast(entry), "grp").select("query", "node")
     beams = None
     for _ in range(most_rounds):

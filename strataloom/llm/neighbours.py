@@ -72,8 +72,8 @@ def usable_vectors(df: DataFrame) -> DataFrame:
 
 def nodes_of(usable: DataFrame) -> DataFrame:
     """(node, grp, digest, rep, copies, vec): one row for each distinct vector of a group; counts each id once."""
-    ids = usable.groupBy("grp", "digest", "vector_id").agg(F.first("vec").alias("vec"))
-    nodes = ids.groupBy("grp", "digest").agg(F.min("vector_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    ids = usable.select("grp", "digest", "vector_id").distinct().groupBy("grp", "digest").agg(F.min("vector_id").alias("rep"), F.count("*").alias("copies"))
+    nodes = usable.groupBy("grp", "digest").agg(F.first("vec").alias("vec")).join(ids, ["grp", "digest"])  # vectors are shuffled once
     return cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()).select("node", "grp", "digest", "rep", "copies", "vec"))
 
 

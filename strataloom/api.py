@@ -86,7 +86,10 @@ def quality_gate(store: DataFrame, queries: DataFrame, qrels: DataFrame, baselin
 
 
 def main(argv: list[str] | None = None) -> int:
-    """strataloom: lineage ID | staleness MODEL VERSION | status | plan MODEL VERSION | cutover OFF ON, on a catalog folder."""
+    """lineage ID | staleness MODEL VERSION | status | plan MODEL VERSION | apply MODEL VERSION MODEL VERSION COLLECTION ID |
+    faults RATE | gate STORE QUERIES QRELS BASELINE CANDIDATE | cutover OFF ON, on a catalog folder.
+
+    apply embeds with the deterministic stand-in; gate reads three Parquet folders and fails with 1 if it is not passed."""
     from strataloom.session import build_session
 
     parser = argparse.ArgumentParser(prog="strataloom", description=main.__doc__)
@@ -98,11 +101,15 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_argument("model")
         sub.add_argument("version")
     commands.add_parser("status")
+    for name, words in (("apply", ("model", "version", "to_model", "to_version", "collection", "migration")), ("faults", ("rate",)), ("gate", ("store", "queries", "qrels", "baseline", "candidate"))):
+        sub = commands.add_parser(name)
+        for word in words:
+            sub.add_argument(word)
     sub = commands.add_parser("cutover")
     sub.add_argument("off")
     sub.add_argument("on")
     args = parser.parse_args(argv)
-    policy = {"active_model": args.model, "active_version": args.version} if args.command == "staleness" else {}
+    policy: dict = {"active_model": args.model, "active_version": args.version} if args.command == "staleness" else {}
     service = Service(Catalog(build_session("local[*]"), args.catalog), policy=policy)
     if args.command == "lineage":
         try:
@@ -112,6 +119,19 @@ def main(argv: list[str] | None = None) -> int:
             return 1
     elif args.command == "cutover":
         out = service.cutover(args.off, args.on)
+    elif args.command == "apply":
+        dimensions = migration.find_model(service.catalog.table("embedding_models"), args.to_model, args.to_version)["dimensions"]
+        vectors, progress = migration.apply(service.catalog, (args.model, args.version), (args.to_model, args.to_version), args.collection, args.migration, migration.hash_embedder(dimensions), dimensions)
+        out = {"vectors": vectors.count(), "batches": progress.count()}
+    elif args.command == "faults":
+        drawn = migration.fault_ledger(service.catalog.table("vectors"), "vector_id", float(args.rate)).groupBy("fault").count()
+        out = {str(r.fault): r["count"] for r in drawn.collect()}
+    elif args.command == "gate":
+        read = service.catalog.spark.read.parquet
+        out = quality_gate(read(args.store), read(args.queries), read(args.qrels), args.baseline, args.candidate)
+        if not out["passed"]:
+            print(json.dumps(out))
+            return 1
     else:
         out = {"staleness": service.staleness, "status": service.status, "plan": lambda: service.plan(args.model, args.version)}[args.command]()
     print(json.dumps(out, default=str, ensure_ascii=False))

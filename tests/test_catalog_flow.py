@@ -222,3 +222,44 @@ def test_command_line(spark, seeded, capsys):
     assert main(["--catalog", seeded.folder, "lineage", "none"]) == 1
     assert main(["--catalog", seeded.folder, "plan", "bge-small", "2.0.0"]) == 0 and '"total_vectors": 1' in capsys.readouterr().out
     assert main(["--catalog", seeded.folder, "status"]) == 0 and main(["--catalog", seeded.folder, "staleness", "bge-small", "2.0.0"]) == 0
+    assert main(["--catalog", seeded.folder, "apply", "bge-small", "2.0.0", "bge-small", "1.0.0", "next", "mig_9"]) == 0 and '"vectors": 1' in capsys.readouterr().out
+    assert main(["--catalog", seeded.folder, "faults", "1.0"]) == 0 and "None" not in capsys.readouterr().out
+    store = spark.createDataFrame([("a", "old", [1.0, 0.0]), ("b", "old", [0.0, 1.0])], "item_id string, collection_name string, vector array<double>")
+    store.write.parquet(seeded.folder + "/store")
+    spark.createDataFrame([("q", [0.2, 1.0])], "query_id string, vector array<double>").write.parquet(seeded.folder + "/q")
+    spark.createDataFrame([("q", "b")], "query_id string, doc_id string").write.parquet(seeded.folder + "/r")
+    gate = ["--catalog", seeded.folder, "gate", *(f"{seeded.folder}/{x}" for x in ("store", "q", "r")), "old"]
+    assert main([*gate, "old"]) == 0 and main([*gate, "none"]) == 1
+
+
+def test_http(spark, seeded):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from strataloom.http_api import make_server
+
+    embed = migration.hash_embedder(16)
+    store = spark.createDataFrame([("a", "live", embed(["red apple"])[0].tolist())], "item_id string, collection_name string, vector array<double>")
+    server = make_server(Service(seeded, store, embed, {"active_collection": "live", "active_model": "bge-small", "active_version": "1.0.0"}))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def call(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, None if body is None else json.dumps(body).encode())) as r:
+                raw = r.read().decode()
+                return r.status, json.loads(raw) if r.headers["Content-Type"] == "application/json" else raw
+        except urllib.error.HTTPError as error:
+            return error.code, json.loads(error.read())
+
+    try:
+        assert call("/health") == (200, {"status": "ok"}) and call("/nowhere")[0] == 404 and call("/v1/nowhere", {})[0] == 404
+        assert call("/v1/search", {"query": "red apple", "top_k": 1})[1]["results"][0]["id"] == "a"
+        assert call("/v1/search", {})[0] == 400 and call("/v1/search", {"query": "x", "top_k": 0})[0] == 400 and call("/v1/search", [1])[0] == 400
+        assert call("/v1/catalog/lineage/vec_0001")[1]["doc_id"] == "doc-1" and call("/v1/catalog/lineage/none")[0] == 404
+        assert call("/v1/catalog/staleness")[1]["total"] == 2
+        assert call("/v1/admin/routing", {"traffic_split_ratio": 0.5, "active_model": None})[1]["active_model"] == "bge-small"
+        assert "embedding_tokens_total" in call("/metrics")[1]
+    finally:
+        server.shutdown()

@@ -35,7 +35,7 @@ TOKENIZERS = os.environ.get("STRATALOOM_TOKENIZERS", "/opt/tokenizers")
 NO_RANK = np.int32(2**31 - 1)
 WIDE = 256
 CELLS = 2_000_000  # cells of one matrix
-CACHED_PIECES = 300_000  # distinct pieces a worker keeps
+CACHED_PIECES, CACHED_IDS = 300_000, 5_000_000  # distinct pieces, and ids of them, that a worker keeps
 SPAN = 1_000_000  # characters whose pieces are held at once
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,7 +230,7 @@ class Encoder:
             while end < len(texts) and (end == at or size + len(texts[end] or "") <= SPAN):
                 size += len(texts[end] or "")
                 end += 1
-            if len(self.numbers) > CACHED_PIECES:
+            if len(self.numbers) > CACHED_PIECES or len(self.flat) > CACHED_IDS:
                 self._forget()
             parts, counts = [], np.zeros(end - at, np.int64)
             for i in range(at, end):

@@ -1,7 +1,8 @@
 """The relational catalog on Parquet: validated inserts, snapshots with an atomic pointer, constraint queries.
 
-A table is a folder of numbered snapshots and a pointer file that names the current ones. Writers stage every changed
-table first and then replace the pointer in one rename, so several tables change together or not at all.
+A table is a list of Parquet folders in a pointer file. An insert adds a folder and reads of the rest only the keys; a
+change of rows writes a new snapshot. Writers stage every changed table first and then replace the pointer in one
+rename, so several tables change together or not at all.
 """
 
 from __future__ import annotations
@@ -46,6 +47,15 @@ def key_violations(df: DataFrame, table: Table) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def key_conflicts(current: DataFrame, new: DataFrame, table: Table) -> DataFrame:
+    """(rule, n): key_violations() within new rows, and keys or unique sets of theirs that the table holds already."""
+    found = [key_violations(new, table)]
+    for rule, columns in [("primary_key", table.key), *((f"unique_{'_'.join(u)}", u) for u in table.unique)]:
+        held = new.join(current.select(*columns), list(columns), "left_semi").agg(F.count("*").alias("n"))
+        found.append(held.select(F.lit(rule).alias("rule"), "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def check_violations(df: DataFrame, table: Table) -> DataFrame:
     """(rule, n): rows that break each check, and nulls in each required column, in one pass."""
     rules = {f"not_null_{c}": F.col(c).isNull() for c in table.required if c in df.columns} | {r: ~F.expr(e) for r, e in table.checks.items()}
@@ -85,13 +95,13 @@ class Catalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         os.makedirs(folder, exist_ok=True)
-        self._staged: dict[str, str] | None = None
+        self._staged: dict[str, list[str]] | None = None
 
     @property
     def _pointer(self) -> str:
         return os.path.join(self.folder, "current.json")
 
-    def _current(self) -> dict[str, str]:
+    def _current(self) -> dict[str, list[str]]:
         if self._staged is not None:
             return self._staged
         if os.path.exists(self._pointer):
@@ -99,12 +109,23 @@ class Catalog:
                 return json.load(f)
         return {}
 
-    def _publish(self, paths: dict[str, str]) -> None:
+    def _publish(self, paths: dict[str, list[str]]) -> None:
         handle, name = tempfile.mkstemp(dir=self.folder)
         with os.fdopen(handle, "w", encoding="utf-8") as f:
             json.dump(paths, f)
         os.replace(name, self._pointer)
 
+    def _point(self, name: str, paths: list[str]) -> None:
+        if self._staged is not None:
+            self._staged[name] = paths
+        else:
+            self._publish(dict(self._current()) | {name: paths})
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        path = os.path.join(self.folder, name, uuid.uuid4().hex)
+        with_defaults(df, TABLES[name]).write.parquet(path)
+        return path
+
     @contextmanager
     def transaction(self):
         """Changes inside become visible together at the end, or not at all if an error leaves the block."""
@@ -120,9 +141,9 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(f"unknown table {name}")
-        path = self._current().get(name)
+        paths = self._current().get(name)
         schema = TABLES[name].ddl
-        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in TABLES}
@@ -131,13 +152,7 @@ class Catalog:
         """Writes a snapshot and points the table to it."""
         if name not in TABLES:
             raise KeyError(f"unknown table {name}")
-        path = os.path.join(self.folder, name, uuid.uuid4().hex)
-        with_defaults(df, TABLES[name]).write.parquet(path)
-        paths = dict(self._current()) | {name: path}
-        if self._staged is not None:
-            self._staged[name] = path
-        else:
-            self._publish(paths)
+        self._point(name, [self._write(name, df)])
 
     def insert(self, name: str, rows: DataFrame) -> int:
         """Appends rows; refuses null or repeated keys, broken checks and references that point nowhere. The number of rows."""
@@ -147,14 +162,14 @@ class Catalog:
         new = with_defaults(rows, table).cache()
         try:
             n = new.count()
-            both = self.table(name).unionByName(new)
-            broken = [f"{r.rule}: {r.n}" for r in key_violations(both, table).unionByName(check_violations(new, table)).filter("n > 0").collect()]
+            broken = [f"{r.rule}: {r.n}" for r in key_conflicts(self.table(name), new, table).unionByName(check_violations(new, table)).filter("n > 0").collect()]
             if table.references:
                 others = self.tables() | {name: new}
                 broken += [f"{r.table_name} -> {r.reference}: {r.n}" for r in reference_violations(others, [name]).filter("n > 0").collect()]
             if broken:
                 raise ValueError(f"{name}: {', '.join(broken)}")
-            self.replace(name, both)
+            if n:
+                self._point(name, [*self._current().get(name, []), self._write(name, new)])
             return n
         finally:
             new.unpersist()

@@ -45,6 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
+    """Partitions for a shuffle of so many rows: the session's number, or fewer for small data, but eight at least."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(8, -(-rows // rows_each)))
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, whatever their working folder."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -24,7 +24,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.session import cut_lineage, ensure_checkpoint_dir
+from strataloom.session import cut_lineage, ensure_checkpoint_dir, partitions_for
+
+BUCKET_ROWS = 20_000  # rows of a bucket of a small ledger; a large one has as many buckets as shuffles have partitions
 
 _NAME = r"\p{L}[\p{L}\p{N}]*(?:[^\p{L}\p{N}:=.,!?]{1,3}[\p{L}\p{N}]+){0,5}"
 FIELD = rf"(?s)^[^\p{{L}}\p{{N}}:=]*+({_NAME})[^\p{{L}}\p{{N}}:=]*+[:=](.*)$"
@@ -183,14 +185,15 @@ class CopyLedger:
 
 def new_ledger(spark: SparkSession, buckets: int | None = None) -> CopyLedger:
     """An empty ledger in the shared folder."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return CopyLedger(spark, f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}", buckets or max(8, parts))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return CopyLedger(spark, f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}", buckets or max(8, most))
 
 
 def collapse(tables: list[DataFrame], batches: int = 2, buckets: int | None = None) -> CopyLedger:
     """Signs once, then absorbs the items in batches by arrival time (rows without one come first)."""
     signed = cut_lineage(reduce(DataFrame.unionByName, tables))
-    ledger = new_ledger(signed.sparkSession, buckets)
+    spark = signed.sparkSession
+    ledger = new_ledger(spark, buckets or partitions_for(spark, signed.count(), BUCKET_ROWS))
     shares = [i / batches for i in range(1, batches)]
     at = signed.agg(F.percentile_approx(F.unix_micros("arrived"), shares, 1000).alias("at")).first()["at"] if shares else None
     cuts = sorted(set(at or []))

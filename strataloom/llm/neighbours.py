@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.session import cut_lineage
+from strataloom.session import cut_lineage, partitions_for
 
 KEEP, JOINED, GROUP, BLOCK, ROUNDS = 14, 10, 28, 8192, 2
+PART_NODES = 5000  # nodes of a partition while there are few
 DEGREE = 48  # links of a node that a search follows, either way, the most similar ones
 CELL_NODES, MOST_CELLS, SAMPLE, MOST_GROUPS = 1600, 1024, 16_384, 10_000
 RING = 1000  # copies of one vector that are ordered together
@@ -153,7 +154,7 @@ def block_lists(nodes: DataFrame, cells: dict[str, np.ndarray], keep: int = KEEP
         placed = placed.join(F.broadcast(spark.createDataFrame(cuts, "cell bigint, cuts array<int>")), "cell", "left")
         piece = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("code"))), F.lit(0))
     ordered = placed.withColumn("piece", piece.cast("int")).select("cell", "piece", "code", "node", "vec")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(spark, nodes.count(), PART_NODES)
     ordered = ordered.repartition(parts * 2, "cell", "piece").sortWithinPartitions("cell", "piece", "code", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +230,8 @@ def best_of(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, keep: int) -> tu
     return node[start], nbr[on], sim[on], np.minimum(size, keep)
 
 
-def merge_lists(lists: DataFrame, keep: int = KEEP) -> DataFrame:
+def merge_lists(lists: DataFrame, parts: int, keep: int = KEEP) -> DataFrame:
     """One list for each node out of several, by one shuffle of the lists."""
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = lists.repartition(parts, "node").sortWithinPartitions("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +277,7 @@ def descend(graph: DataFrame, small: DataFrame, keep: int = KEEP, joined: int =
     meet = edges.select(F.col("node").alias("at"), F.col("nbr").alias("node")).unionByName(edges.select(F.col("nbr").alias("at"), "node")).distinct()
     least = graph.select("node", F.when(F.size("sims") >= keep, F.array_min("sims")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
     carried = small.join(least, "node")
-    spark = graph.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(graph.sparkSession, graph.count(), PART_NODES)
     met = meet.join(carried, "node").withColumn("mix", F.xxhash64("node", "at", F.lit(turn))).repartition(parts, "at").sortWithinPartitions("at", "mix", "node").select("at", "node", "small", "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +322,13 @@ def descend(graph: DataFrame, small: DataFrame, keep: int = KEEP, joined: int =
                 if len(g):
                     yield _lists(*best_of(now[1][where[g, i]], now[1][where[g, j]], s[g, i, j], keep))
 
-    return cut_lineage(merge_lists(graph.unionByName(met.mapInArrow(run, LISTS)), keep))
+    return cut_lineage(merge_lists(graph.unionByName(met.mapInArrow(run, LISTS)), parts, keep))
 
 
 def neighbour_graph(nodes: DataFrame, keep: int = KEEP, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """(node, nbrs, sims) for every node that has another in its group."""
-    graph = cut_lineage(merge_lists(block_lists(nodes, fit_cells(nodes), keep, block), keep))
+    parts = partitions_for(nodes.sparkSession, nodes.count(), PART_NODES)
+    graph = cut_lineage(merge_lists(block_lists(nodes, fit_cells(nodes), keep, block), parts, keep))
     small = cut_lineage(small_vectors(nodes)) if rounds else None
     for turn in range(rounds):
         graph = descend(graph, small, keep, turn=turn)

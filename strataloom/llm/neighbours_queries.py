@@ -39,3 +39,13 @@ def p3_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_search": p3_search}
+
+#: Exact by comparing all pairs of a collection.
+ORACLES = {
+    "p3_found": """
+        WITH v AS (SELECT DISTINCT vector_id, collection_name, dimension, embedding::DOUBLE[] AS e FROM vectors
+            WHERE embedding IS NOT NULL AND len(embedding) = dimension AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        r AS (SELECT a.vector_id AS a, b.vector_id AS b, list_cosine_similarity(a.e, b.e) AS c, row_number() OVER (PARTITION BY a.vector_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vector_id) AS rank
+            FROM v a JOIN v b ON a.collection_name = b.collection_name AND a.dimension = b.dimension AND a.vector_id <> b.vector_id)
+        SELECT DISTINCT least(a, b) AS vector_id_a, greatest(a, b) AS vector_id_b FROM r WHERE rank <= 10 AND c >= 0.90""",
+}

@@ -24,7 +24,7 @@ def test_runs(spark, name):
         assert len(set(rows)) == len(rows)
     if name in registry.ORACLES:
         c = duckdb.connect()
-        for t in ("document_records", "chunk_strategies"):
+        for t in ("document_records", "chunk_strategies", "chunks", "documents", "vectors"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         rel = c.sql(registry.ORACLES[name])
         assert sorted(map(str, (tuple(r[c] for c in rel.columns) for r in rows))) == sorted(map(str, rel.fetchall()))

@@ -167,10 +167,26 @@ def centroid_norm(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(drift.centroid_norm(_corpus(spark, folder)))
 
 
-@query()
+def _sql_cosines(side: str) -> str:
+    return f"""SELECT avg(c) AS mean, quantile_cont(c, 0.5) AS median, quantile_cont(c, 0.05) AS p05, quantile_cont(c, 0.95) AS p95, stddev_pop(c) AS std FROM (SELECT round(list_cosine_similarity(a.{side}, b.{side}), 9) AS c FROM s a JOIN s b ON a.vec_id < b.vec_id)"""
+
+
+def _sql_centroid(side: str) -> str:
+    return f"SELECT sqrt(sum(m * m)) AS norm FROM (SELECT i, avg({side}[i]) AS m FROM (SELECT {side}, unnest(range(1, len({side}) + 1)) AS i FROM s) GROUP BY i)"
+
+
+_SIDES = ", ".join(f"round({t}.{c}, 6) AS cosine_{c}_{n}" for t, n in (("b", "before"), ("a", "after")) for c in ("mean", "median", "p05", "p95", "std"))
+
+
+@query(f"""WITH s AS {_SAMPLE}, b AS ({_sql_cosines('before')}), a AS ({_sql_cosines('after')}), cb AS ({_sql_centroid('before')}), ca AS ({_sql_centroid('after')}),
+    n AS (SELECT x.vec_id AS id, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_cosine_similarity(x.before, y.before), 9) DESC, y.vec_id) AS r1, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_cosine_similarity(x.after, y.after), 9) DESC, y.vec_id) AS r2 FROM s x JOIN s y ON x.vec_id <> y.vec_id),
+    j AS (SELECT avg(v) AS mean, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.95) AS p95 FROM (SELECT count(*) FILTER (r1 <= 10 AND r2 <= 10) / count(*) FILTER (r1 <= 10 OR r2 <= 10) AS v FROM n GROUP BY id))
+    SELECT (SELECT count(*) FROM s) AS sampled, (SELECT max(len(before)) FROM s) AS dimensions_before, (SELECT max(len(after)) FROM s) AS dimensions_after, {_SIDES}, round(cb.norm, 6) AS centroid_norm_before, round(ca.norm, 6) AS centroid_norm_after,
+        round(j.mean, 6) AS jaccard_mean, round(j.median, 6) AS jaccard_median, round(j.p05, 6) AS jaccard_p05, round(j.p95, 6) AS jaccard_p95, (a.mean >= 0.95 AND a.std <= 0.05) AS collapse, (abs(a.mean - b.mean) >= 0.1 OR abs(ca.norm - cb.norm) >= 0.1 OR j.mean < 0.9) AS shift FROM a, b, ca, cb, j""")
 def drift_report(spark: SparkSession, folder: str) -> DataFrame:
     """The whole report on both spaces."""
-    return drift.report(*_spaces(spark, folder), n=200, seed=3)
+    row = drift.report(*_spaces(spark, folder), n=200, seed=3)
+    return row.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes))
 
 
 # telemetry: events stand for requests, their value for hundredths of a second ----------------------------------------

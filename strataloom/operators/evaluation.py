@@ -44,7 +44,6 @@ def gate(baseline: DataFrame, candidate: DataFrame, recall_tolerance: float = 0.
     """One row: the deltas of two macro() rows and whether the candidate holds up."""
     if recall_tolerance < 0 or ndcg_tolerance < 0:
         raise ValueError("tolerances must not be negative")
-    b = baseline.select(*(F.col(c).alias(f"b_{c}") for c in baseline.columns))
-    both = b.crossJoin(candidate)  # two rows in all
-    out = both.select((F.col("recall_at_10") - F.col("b_recall_at_10")).alias("recall_delta"), (F.col("ndcg_at_10") - F.col("b_ndcg_at_10")).alias("ndcg_delta"), (F.col("mrr") - F.col("b_mrr")).alias("mrr_delta"))
+    both = baseline.withColumn("side", F.lit(-1)).unionByName(candidate.withColumn("side", F.lit(1)))
+    out = both.agg(*(F.sum(F.col("side") * F.col(c)).alias(d) for c, d in (("recall_at_10", "recall_delta"), ("ndcg_at_10", "ndcg_delta"), ("mrr", "mrr_delta"))))
     return out.withColumn("passed", (F.col("recall_delta") >= -recall_tolerance) & (F.col("ndcg_delta") >= -ndcg_tolerance))

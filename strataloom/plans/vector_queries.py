@@ -152,7 +152,7 @@ def _spaces(spark, folder):
 def cosine_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """Cosines of all pairs within a sample of the space."""
     pairs = drift.pair_cosines(drift.sample_shared(*_spaces(spark, folder), 200, 3), "before").cache()
-    return _rounded(drift.distribution(pairs, "cosine").crossJoin(pairs.agg(F.count("*").alias("pairs"))), "pairs")  # two rows of one
+    return _rounded(drift.distribution(pairs, "cosine").withColumn("pairs", F.lit(pairs.count()).cast("bigint")), "pairs")
 
 
 @query(f"""WITH s AS {_SAMPLE}, n AS (SELECT a.vec_id AS item_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.before, b.before), 9) DESC, b.vec_id) AS r1, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.after, b.after), 9) DESC, b.vec_id) AS r2 FROM s a JOIN s b ON a.vec_id <> b.vec_id)

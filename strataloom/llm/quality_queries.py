@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strataloom.llm.quality import scored_texts
 from strataloom.sources.tables import table
 
-#: Lowest score of an outlier: nearly every text scores more, as tails add up over ten statistics. The kind decides.
-LEAST_SCORE = 0.5
-
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics, tail probabilities and outlier score of every document."""
@@ -18,8 +14,9 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id and kind of the outliers whose larger part is list, table or junk."""
-    return p8_statistics(spark, folder).filter(F.col("kind").isNotNull() & (F.col("outlier_score") >= LEAST_SCORE)).select("doc_id", "kind")
+    """doc_id and kind of the documents whose larger part is list, table or junk, whatever their score: a score is a rank
+    within a language, so it is low where the group is tiny or one text fills it."""
+    return p8_statistics(spark, folder).filter("kind is not null").select("doc_id", "kind")
 
 
 QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics}

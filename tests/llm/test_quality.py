@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from strataloom.llm import quality as Q
+from strataloom.llm.quality_queries import p8_found
 from strataloom.llm.text_parts import CommonWords, kind_of, read_text
 
 COMMON = CommonWords([("en", w) for w in "the of and to in is that for it was with we".split()] + [("ja", "の"), ("ja", "は")])
@@ -74,3 +75,12 @@ def test_ranks_over_many_partitions(spark):
     for r in ranks.itertuples():
         g = pdf[pdf.language == r.language][Q.STATISTICS[r.statistic]]
         assert (r.below, r.upto, r.total) == ((g < r.value).sum(), (g <= r.value).sum(), len(g))
+
+
+def test_found_in_tiny_languages_and_among_copies(spark, tmp_path):
+    junk = "xx vbn qwr tzz kkl pwr mnb vcx lkj hgf"
+    rows = [(i, PROSE, "en") for i in range(60)] + [(100, junk, None)] + [(200 + i, junk, "ja") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    words(spark).write.parquet(f"{tmp_path}/common_words.parquet")
+    got = sorted(map(tuple, p8_found(spark, str(tmp_path)).collect()))
+    assert got == [(i, "junk") for i in (100, *range(200, 230))]

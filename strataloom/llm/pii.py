@@ -1,7 +1,8 @@
 """Personal information in free text: found by a linear-chain CRF, replaced by typed placeholders.
 
-1. Signs that no item lacks (an @ or a spelled-out one, six digits close together, a word of name affixes, a title or a
-   street word) are looked up in the whole text by an automaton and one expression; the text around them is a window.
+1. Signs that no item lacks (an @ or a spelled-out one, six digits close together, four digits among letters, a word of
+   name affixes, a title or a street word) are looked up in the whole text by an automaton and two expressions; the text
+   around them is a window.
 2. Windows are cut into tokens, and the field (crf.py), trained on the labelled table of pii_labels.py, labels them by
    Viterbi in numpy batches. Equal windows are decoded once per worker.
 3. A decoded span counts if it has what its type cannot do without (digits, an address sign, two parts of a name).
@@ -37,6 +38,7 @@ WINDOW, SHARED = 8000, 400  # characters of the longest window, and what neighbo
 CACHED_WINDOWS, CACHED_CHARS = 50_000, 20_000_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 NEAR_DIGITS = re.compile(r"[0-9](?:[\s().\-/–‑+]{0,2}[0-9]){5,}")
+MIXED = re.compile(r"(?<![^\W_])(?=(?:[a-z]*[0-9]){4})(?=[0-9]*[a-z])[a-z0-9]{8,18}(?![^\W_])")  # letters among digits, as ID_VALUE has it
 STAMP = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 STREETS = ("street", "st", "road", "rd", "lane", "court", "avenue", "ave", "drive", "square", "boulevard", "rue", "calle", "avenida", "plaza", "piazza", "rua", "straße", "strasse", "platz", "allee", "weg", "via", "c", "flat", "apt")
 SIGN_STREETS = ("street", "road", " rd", "lane", "court", "avenue", "ave.", "boulevard", "rue ", "calle ", "c/ ", "avenida", "plaza", "piazza", "rua ", "straße", "strasse", "square", "drive")
@@ -192,6 +194,7 @@ class Finder:
         if len(low) != len(text):  # letters that become two in lower case
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         at = [(m.start(), m.end()) for m in NEAR_DIGITS.finditer(low) if not (STAMP.match(m.group()) and low[m.start() + 10 : m.start() + 11] == "t")]
+        at += (m.span() for m in MIXED.finditer(low))
         for end, (size, alone) in self.signs.iter(low):
             start = end + 1 - size
             if not (alone and start and low[start - 1].isalnum()):
@@ -280,6 +283,9 @@ class Finder:
             b -= 1
         while a < b and w[a] in ",;:.!?\"«“*_)]} \n":
             a += 1
+        if kind == "id_number" and a < b < len(w) and w[b].isalnum():  # the last tokens of a number with letters
+            run = next((m for m in MIXED.finditer(w[: b + 19].lower(), max(0, b - 18)) if a <= m.start() < b < m.end() <= b + 4), None)
+            b = run.end() if run else b
         text = w[a:b]
         digits = sum(map(str.isdigit, text))
         if kind == "email":

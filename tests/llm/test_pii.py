@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,7 @@ import pytest
 
 from strataloom.llm import pii as P
 from strataloom.llm.crf import Crf
-from strataloom.llm.pii_labels import LABELS
+from strataloom.llm.pii_labels import LABELS, Values
 
 PARTS = tuple(sorted(pd.read_parquet("/root/testdata/sf0.001/name_parts.parquet").itertuples(index=False, name=None)))
 
@@ -117,3 +118,16 @@ def test_columns(spark):
     masked = sorted(map(tuple, P.mask_texts(df, parts, "k", "t").select("item", "masked_text").collect()), key=str)
     assert masked == [("k1", "Questions go to [NAME] at [EMAIL].")] * 2 + [("k2", None), ("k3", "Nothing here.")]
     assert P.find_types(df.limit(0), parts, "k", "t").count() == 0
+
+
+@pytest.mark.parametrize("text,item", [
+    ("The form lists Personalausweis-Nr. L0Z92T479 for the participant.", "Personalausweis-Nr. L0Z92T479"), ("Im Formular steht Ausweisnummer X0H21A259.", "Ausweisnummer X0H21A259"),
+    ("It ran well. " * 40 + "Nel modulo: codice fiscale NLMRHZ82B51T287M. " + "It ran well. " * 40, "codice fiscale NLMRHZ82B51T287M"), ("The key a8f77c06d5e4 applies to the batch.", None),
+])
+def test_identity_numbers_with_letters_between_digits(finder, text, item):
+    assert [(text[a:b], kind) for a, b, kind in finder.find([text])[0]] == ([(item, "id_number")] if item else [])
+
+
+def test_every_labelled_identity_number_opens_a_window(finder):
+    values = Values(random.Random(5), lambda: "Qq", lambda: "Zz")
+    assert all(finder.windows(values.id_number()) for _ in range(3000))

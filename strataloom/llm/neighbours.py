@@ -33,6 +33,7 @@ from strataloom.session import cut_lineage, partitions_for
 KEEP, JOINED, GROUP, BLOCK, ROUNDS = 14, 10, 28, 8192, 2
 PART_NODES = 5000  # nodes of a partition while there are few
 DEGREE = 48  # links of a node that a search follows, either way, the most similar ones
+ENTRIES, MOST_ENTRIES = 1024, 65_536  # nodes of a group among which the starts of a search are chosen, and of all groups
 CELL_NODES, MOST_CELLS, SAMPLE, MOST_GROUPS = 1600, 1024, 16_384, 10_000
 RING = 1000  # copies of one vector that are ordered together
 MARGIN = 0.02  # how far a one-byte cosine may be off
@@ -397,18 +398,38 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int
     """(query, node, cosine, rank): for each row (query, grp, vec) the best nodes that a greedy walk over the graph meets.
 
     All queries walk together: each round joins the open nodes of the beams with the graph, looks at the vectors of
-    their neighbours and keeps the `beam` best, until no beam changes or for most_rounds. A walk starts at nodes spread
-    over its group by hash."""
+    their neighbours and keeps the `beam` best, until no beam changes or for most_rounds. A walk starts
+    at the `starts` most similar of up to ENTRIES nodes that are spread over its group by hash, so it begins in the right
+    part of a large group too."""
     spread = F.row_number().over(Window.partitionBy("grp", "shard").orderBy("h"))
     hashed = nodes.select("node", "grp", F.xxhash64("digest").alias("h")).withColumn("shard", F.pmod("h", F.lit(256)))
-    entry = hashed.withColumn("r", spread).filter(F.col("r") <= starts)
-    entry = entry.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("r", "h"))).filter(F.col("r") <= starts).select("grp", "node")  # 256 * starts a group at most
+    groups = nodes.select("grp").distinct().count()
+    most = max(starts, min(ENTRIES, MOST_ENTRIES // max(1, groups)))
+    entry = hashed.withColumn("r", spread).filter(F.col("r") <= most)
+    entry = entry.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("r", "h"))).filter(F.col("r") <= most).select("node")  # 256 * most a group at most
+    held: dict[str, list] = {}
+    for r in nodes.select("node", "grp", "vec").join(entry, "node").collect():  # MOST_ENTRIES in all, or `starts` a group
+        held.setdefault(r.grp, []).append((r.node, bytes(r.vec)))
+    entries = {g: (np.array([n for n, _ in rows], np.int64), _unit(np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(len(rows), -1))) for g, rows in ((g, sorted(rows)) for g, rows in held.items())}
+    shared = nodes.sparkSession.sparkContext.broadcast(entries)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = np.array(batch.column(1).to_pylist(), object)
+            for g in sorted(set(groups.tolist()) & shared.value.keys()):
+                ids, x = shared.value[g]
+                rows = np.flatnonzero(groups == g)
+                for part in np.split(rows, range(1024, len(rows), 1024)):
+                    take = pa.array(part)
+                    near = np.argsort(-(_unit(_vectors(batch.column(2).take(take))) @ x.T), axis=1, kind="stable")[:, :starts]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(part, near.shape[1]))), pa.array(ids[near.ravel()])], ["query", "node"])
+
     asked = cut_lineage(queries.select("query", "grp", F.col("vec").alias("qv")))
     edges = graph.select(F.col("node").alias("u"), F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("u", F.col("e.nbrs").alias("v"), F.col("e.sims").alias("sim"))
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).distinct()
     nearest = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))  # limited before the shuffle, so a hub is no large group
     links = cut_lineage(both.withColumn("r", nearest).filter(F.col("r") <= DEGREE).groupBy("u").agg(F.collect_list("v").alias("links")))
-    found = asked.join(F.broadcast(entry), "grp").select("query", "node")
+    found = asked.mapInArrow(begin, f"query {asked.schema['query'].dataType.simpleString()}, node bigint")
     beams = None
     for _ in range(most_rounds):
         new = found if beams is None else found.join(beams.select("query", "node"), ["query", "node"], "left_anti")
@@ -426,6 +447,18 @@ def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int
     return beams.withColumn("rank", order).filter(F.col("rank") <= k).select("query", "node", "cosine", "rank")
 
 
+def searched(usable: DataFrame, nodes: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
+    """(query, vector_id, cosine, rank): of k + 1 nodes for each query the k best vectors, copies included, without the
+    query's own id."""
+    met = nodes.join(hits.select("node").distinct(), "node").select("node", "grp", "digest")
+    ids = usable.select("grp", "digest", "vector_id").join(met, ["grp", "digest"]).select("node", "vector_id").distinct()
+    place = F.row_number().over(Window.partitionBy("node").orderBy("vector_id"))  # limited before the shuffle, so many copies are no large group
+    some = ids.withColumn("place", place).filter(F.col("place") <= k + 1).select("node", "vector_id")
+    others = hits.select("query", "node", "cosine").join(some, "node").filter(F.col("vector_id") != F.col("query"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "vector_id"))
+    return others.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "vector_id", "cosine", "rank")
+
+
 def _cosines(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

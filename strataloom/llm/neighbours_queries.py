@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.neighbours import greedy_search, neighbour_graph, nodes_of, ranked, usable_vectors
+from strataloom.llm.neighbours import greedy_search, neighbour_graph, nodes_of, ranked, searched, usable_vectors
 from strataloom.session import cut_lineage
 from strataloom.sources.tables import table
 
@@ -30,12 +30,12 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Greedy search for every vector whose number is divisible by 100, against all distinct vectors."""
+    """Greedy search for every vector whose number is divisible by 100: its ten most similar vectors but itself."""
     usable, nodes, graph = _parts(spark, folder)
     number = F.regexp_extract("vector_id", r"(\d+)\D*$", 1).cast("bigint")
     asked = usable.filter(number % 100 == 0).dropDuplicates(["vector_id"]).select(F.col("vector_id").alias("query"), "grp", "vec")
-    hits = greedy_search(graph, nodes, asked, K)
-    return hits.join(nodes.select("node", F.col("rep").alias("vector_id")), "node").select("query", "vector_id", F.round("cosine", 6).alias("cosine"), "rank")
+    hits = greedy_search(graph, nodes, asked, K + 1)  # one more, as the query's own vector is a node
+    return searched(usable, nodes, hits, K).withColumn("cosine", F.round("cosine", 6))
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_search": p3_search}

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from strataloom.llm import neighbours as N
+from strataloom.llm.neighbours_queries import p3_search
 
 SCHEMA = "vector_id string, collection_name string, dimension int, embedding array<float>, node string, rank int"
 
@@ -98,3 +99,21 @@ def test_greedy_search(spark):
     np.fill_diagonal(s, 2)
     best = np.argsort(-s[:60], axis=1)[:, :10]
     assert np.mean([(f"v{i:05d}", f"v{j:05d}") in near for i in range(60) for j in best[i]]) >= 0.9
+
+
+def test_search_hands_out_ten_others_and_copies(spark, tmp_path):
+    x = clustered(900)
+    rows = [(f"v{i:05d}", "c", 24, v.tolist()) for i, v in enumerate(x)]
+    rows += [(f"w{i:05d}", "c", 24, x[100].tolist()) for i in range(3)] + [(f"y{i:05d}", "c", 24, x[200].tolist()) for i in range(1, 31)] + [("v00300", "c", 24, x[300].tolist())]
+    frame(spark, rows).write.parquet(f"{tmp_path}/vectors.parquet")
+    got = p3_search(spark, str(tmp_path)).toPandas()
+    asked = [f"v{i:05d}" for i in range(0, 900, 100)] + ["w00000"]
+    assert sorted(got["query"].unique()) == asked and got.groupby("query")["rank"].apply(sorted).tolist() == [list(range(1, 11))] * len(asked)
+    assert not (got["query"] == got.vector_id).any() and not got.duplicated(["query", "vector_id"]).any()
+    lists = {q: g.sort_values("rank").vector_id.tolist() for q, g in got.groupby("query")}
+    assert lists["v00100"][:3] == ["w00000", "w00001", "w00002"] and lists["w00000"][:3] == ["v00100", "w00001", "w00002"]
+    assert lists["v00200"] == [f"y{i:05d}" for i in range(1, 11)]
+    s = all_cosines(x)
+    np.fill_diagonal(s, -2)
+    plain = [i for i in range(0, 900, 100) if i not in (100, 200) and not {100, 200} & {*np.argsort(-s[i])[:10].tolist()}]
+    assert np.mean([f"v{j:05d}" in lists[f"v{i:05d}"] for i in plain for j in np.argsort(-s[i])[:10]]) >= 0.9

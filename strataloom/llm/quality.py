@@ -1,14 +1,14 @@
 """Text statistics of every document, their exact ranks within each language, and outlier scores from tail probabilities.
 
-1. One narrow pass reads each text and gives its statistics, on a grid (multiples of
-   RESOLUTION below 1, four leading digits from there on), and the share of its characters in list, table, junk and prose lines.
+1. One narrow pass reads each text and gives its statistics, unrounded, and the share of its characters in list, table,
+   junk and prose lines.
 2. Values are counted per language and statistic with map-side aggregation, so a value that a third of all documents
    share is one row. The distinct values are range-partitioned by (language, statistic, value) and sorted; each
    partition sums its counts per group, the sums of earlier partitions are its offset, and offset plus running count is
-   the exact rank of a value on the grid.
-3. The grid bounds the rank table: at most STEPS values a statistic and language, and the languages are those of the
-   common-word table and one for the rest. So it is broadcast, and each document's tail probabilities P(X <= x) and
-   P(X >= x) are looked up; the score is the sum of the negative logarithms of the smaller ones, tails counting once.
+   the exact rank of a value.
+3. Each document's tail probabilities P(X <= x) and P(X >= x) come by joining its values with the rank table; values that
+   more than 1/(4 x partitions) of all documents share, a bounded number, are broadcast, so no join key is hot. The score
+   is the sum of the negative logarithms of the smaller ones, tails counting once.
 
 Defined cases: null and blank texts have null statistics, no rank, no score and no kind; an unknown, null or differently
 written language falls to its first part in lower case or to `und`; ties share a rank; repeated rows count each; extra
@@ -31,12 +31,11 @@ from strataloom.session import cut_lineage
 
 STATISTICS = ("n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "distinct_words", "list_share", "table_share", "junk_share")
 RESOLUTION = 1e-3
-STEPS = 100_000
 MOST_COMMON_WORDS = 100_000
 
 
 def on_grid(values: np.ndarray) -> np.ndarray:
-    """Multiples of RESOLUTION below 1, from there on four leading digits: no group has more than STEPS values."""
+    """Multiples of RESOLUTION below 1, from there on four leading digits, to show values shortly; ranks are of full values."""
     v = np.asarray(values, np.float64)
     unit = np.where(np.abs(v) >= 1, 10.0 ** (np.floor(np.log10(np.maximum(np.abs(v), 1))) - 3), RESOLUTION)
     return np.round(np.round(v / unit) * unit, 6)
@@ -75,7 +74,7 @@ def text_statistics(df: DataFrame, common_words: DataFrame, key: str = "doc_id",
             arrays = [batch.column(0), pa.array(languages, pa.string())]
             for s in STATISTICS:
                 v = np.array([np.nan if x is None else x for x in columns[s]], np.float64)
-                arrays.append(pa.array(on_grid(v), pa.float64(), mask=np.isnan(v)))
+                arrays.append(pa.array(v, pa.float64(), mask=np.isnan(v)))
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(kinds, pa.string())], ["__key", "language", *STATISTICS, "kind"])
 
     key_type = source.schema["__key"].dataType.simpleString()
@@ -83,11 +82,16 @@ def text_statistics(df: DataFrame, common_words: DataFrame, key: str = "doc_id",
     return source.mapInArrow(run, schema).withColumnRenamed("__key", key)
 
 
+def long_values(*columns: str) -> list:
+    """columns, then statistic (its number) and value: a row for each statistic."""
+    pairs = ", ".join(f"{i}, `{s}`" for i, s in enumerate(STATISTICS))
+    return [*columns, F.expr(f"stack({len(STATISTICS)}, {pairs}) as (statistic, value)")]
+
+
 def exact_ranks(stats: DataFrame) -> DataFrame:
     """(language, statistic, value, below, upto, total): documents below and up to each distinct value of a group."""
-    pairs = ", ".join(f"{i}, `{s}`" for i, s in enumerate(STATISTICS))
-    counted = stats.select("language", F.expr(f"stack({len(STATISTICS)}, {pairs}) as (statistic, value)")).filter("value is not null").groupBy("language", "statistic", "value").count()
-    parts = min(64, int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the grid bounds what is sorted
+    counted = stats.select(*long_values("language")).filter("value is not null").groupBy("language", "statistic", "value").count()
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["language", "statistic", "value"]
     ordered = cut_lineage(counted.repartitionByRange(parts, *order).sortWithinPartitions(*order))
 
@@ -119,34 +123,20 @@ def exact_ranks(stats: DataFrame) -> DataFrame:
 
 def outlier_scores(stats: DataFrame, key: str = "doc_id") -> DataFrame:
     """stats with outlier_score and, per statistic, the smaller tail's probability. stats should be a table or checkpoint."""
-    ranks = exact_ranks(stats).toPandas()  # bounded by the grid, whatever the number of documents
-    if len(ranks) and ranks.groupby(["language", "statistic"]).size().max() > STEPS:
-        raise ValueError("more values than the grid has")
-    tables = {}
-    for group, rows in ranks.sort_values("value").groupby(["language", "statistic"]):
-        left, right = rows.upto / rows.total, (rows.total - rows.below) / rows.total
-        tables[group] = (rows.value.to_numpy(), np.minimum(1.0, np.minimum(left, right)).to_numpy())
-    shared = stats.sparkSession.sparkContext.broadcast(tables)
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["language", "statistic", "value"]
+    smaller = F.least(F.col("upto") / F.col("total"), (F.col("total") - F.col("below")) / F.col("total"))
+    ranks = cut_lineage(exact_ranks(stats).select(*names, (F.col("upto") - F.col("below")).alias("n"), smaller.alias("tail")))
+    numbered = stats.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), "language", *STATISTICS, "kind")
+    values = numbered.select(*long_values("__row", "language")).filter("value is not null")
+    is_hot = F.col("n") * (4 * parts) > stats.count()  # at most 4 * parts values a statistic
+    hot = values.join(F.broadcast(ranks.filter(is_hot).select(*names, "tail")), names, "left")
+    cold = hot.filter("tail is null").drop("tail").join(ranks.filter(~is_hot).select(*names, "tail"), names)
+    each = hot.filter("tail is not null").select("__row", "statistic", "tail").unionByName(cold.select("__row", "statistic", "tail"))
     tails = [f"tail_{s}" for s in STATISTICS]
-    source = stats.select(F.col(key).alias("__key"), "language", *STATISTICS, "kind")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            language = np.array(batch.column(1).to_pylist(), object)
-            out = np.full((len(STATISTICS), batch.num_rows), np.nan)
-            for i in range(len(STATISTICS)):
-                v = batch.column(2 + i).to_numpy(zero_copy_only=False).astype(np.float64)
-                for group in set(language.tolist()):
-                    rows = np.flatnonzero((language == group) & ~np.isnan(v))
-                    if len(rows):
-                        values, tail = shared.value[group, i]
-                        out[i, rows] = tail[np.searchsorted(values, v[rows])]
-            score = -np.log(out).sum(axis=0)
-            arrays = [*batch.columns, *(pa.array(t, pa.float64(), mask=np.isnan(t)) for t in out), pa.array(score, pa.float64(), mask=np.isnan(score))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *tails, "outlier_score"])
-
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{head}, {', '.join(f'{t} double' for t in tails)}, outlier_score double").withColumnRenamed("__key", key)
+    wide = each.groupBy("__row").agg(*(F.max(F.when(F.col("statistic") == i, F.col("tail"))).alias(t) for i, t in enumerate(tails)))
+    score = -sum((F.log(t) for t in tails[1:]), F.log(tails[0]))
+    return numbered.join(wide, "__row", "left").select(F.col("__key").alias(key), "language", *STATISTICS, "kind", *tails, score.alias("outlier_score"))
 
 
 def scored_texts(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

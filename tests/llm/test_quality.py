@@ -84,3 +84,11 @@ def test_found_in_tiny_languages_and_among_copies(spark, tmp_path):
     words(spark).write.parquet(f"{tmp_path}/common_words.parquet")
     got = sorted(map(tuple, p8_found(spark, str(tmp_path)).collect()))
     assert got == [(i, "junk") for i in (100, *range(200, 230))]
+
+
+def test_statistics_are_not_rounded(spark):
+    long = ["the " * n + "end." for n in (12_346, 12_347)]
+    texts = long + ["a" * n + "," for n in (3000, 4000)] + ["test " * 30] * 60
+    got = Q.scored_texts(frame(spark, [(i, t, "en", "old") for i, t in enumerate(texts)]), words(spark)).toPandas().sort_values("doc_id")
+    assert got.n_words.tolist()[:2] == [12_347, 12_348] and got.tail_n_words.tolist()[:2] == [2 / 64, 1 / 64]
+    assert got.symbol_ratio.tolist()[2:4] == [1 / 3001, 1 / 4001] and len(set(got.symbol_ratio)) == 5

@@ -137,12 +137,12 @@ def _parts(text, lines, full, common, garbled, solid) -> dict[str, int]:
 
 
 def _repeats(text: str) -> bool:
-    """Whether one token makes up more than half of a text of eight or more."""
-    tokens = text.split(None, 8)
-    if len(tokens) < 8 or len(set(tokens[:8])) > 4:
+    """Whether one token, no row of cells, makes up more than half of a text of eight or more, separators left out."""
+    tokens = [t for t in text.split() if t not in SEPARATORS]
+    if len(tokens) < 8:
         return False
-    tokens = text.split()
-    return Counter(tokens).most_common(1)[0][1] * 2 > len(tokens)
+    token, often = Counter(tokens).most_common(1)[0]
+    return often * 2 > len(tokens) and not any(token.strip(x).count(x) >= 2 for x in SEPARATORS)
 
 
 def _phrase(line: str, common: CommonWords) -> bool:

@@ -92,3 +92,8 @@ def test_statistics_are_not_rounded(spark):
     got = Q.scored_texts(frame(spark, [(i, t, "en", "old") for i, t in enumerate(texts)]), words(spark)).toPandas().sort_values("doc_id")
     assert got.n_words.tolist()[:2] == [12_347, 12_348] and got.tail_n_words.tolist()[:2] == [2 / 64, 1 / 64]
     assert got.symbol_ratio.tolist()[2:4] == [1 / 3001, 1 / 4001] and len(set(got.symbol_ratio)) == 5
+
+
+def test_repeated_token_after_a_varied_opening():
+    assert kind_of(read_text("Loud green birds often sing near quiet rivers. " + "the " * 40, COMMON)[1]) == "junk"
+    assert kind_of(read_text("a | b | c | d\n1 | 2 | 3 | 4\n5 | 6 | 7 | 8", COMMON)[1]) == "table"

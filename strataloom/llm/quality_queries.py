@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm.quality import scored_texts
+from strataloom.llm.quality import not_prose, scored_texts
 from strataloom.sources.tables import table
 
 
@@ -14,9 +14,8 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id and kind of the documents whose larger part is list, table or junk, whatever their score: a score is a rank
-    within a language, so it is low where the group is tiny or one text fills it."""
-    return p8_statistics(spark, folder).filter("kind is not null").select("doc_id", "kind")
+    """doc_id and kind of the documents that are outliers by their tail probabilities and for the larger part no prose."""
+    return not_prose(p8_statistics(spark, folder)).select("doc_id", "kind")
 
 
 QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics}

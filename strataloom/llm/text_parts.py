@@ -5,8 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
+
+KINDS = ("list", "table", "junk")
+
 MARK = re.compile(r"\s*(?:[-*+•·‣▪◦–—]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)]|\[[ xX✓]?\]|☐|☑|✓)\s+(?=\S)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
+TAIL = 40  # characters in which the punctuation that ends a line is looked for
 STOP = re.compile(r"[.!?。！？؟…][\"')\]»”*_]*(?:\s|$)|[。！？]")
 INNER_STOP = re.compile(r"[.!?。！？؟][\"')\]»”*_]*\s+\S")
 ENDS = re.compile(r"[.!?:;。！？؟…][\"')\]»”*_]*\s*$")
@@ -62,52 +68,77 @@ def _table_lines(lines: list[str]) -> set[int]:
     return found if len(found) >= 2 else set()
 
 
-def read_text(text: str, common: CommonWords) -> tuple[dict[str, float], dict[str, int]]:
-    """(statistics, characters by kind of part) of a text that is not blank."""
+def char_counts(texts: list[str]) -> np.ndarray:
+    """Of each text, none of them empty, the number of solid, digit, symbol and wide characters, by one look-up of all code points."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    flags = _FLAGS[np.minimum(codes, _BEYOND)]
+    if len(far := np.flatnonzero(codes >= _BEYOND)):
+        distinct, where = np.unique(codes[far], return_inverse=True)
+        flags[far] = np.array([_flags(chr(c)) for c in distinct], np.uint8)[where]
+    starts = np.cumsum([0, *(len(t) for t in texts[:-1])])
+    return np.stack([np.add.reduceat((flags >> bit) & 1, starts, dtype=np.int64) for bit in range(4)], axis=1)
+
+
+def _flags(c: str) -> int:
+    return (c not in " \n\t\r") | c.isdigit() << 1 | (SYMBOL.match(c) is not None) << 2 | (WIDE.match(c) is not None) << 3
+
+
+_BEYOND = 0xFFFF
+_FLAGS = np.array([_flags(chr(i)) for i in range(_BEYOND + 1)], np.uint8)
+
+
+def read_texts(texts: list[str], common: CommonWords) -> list[tuple[dict[str, float], dict[str, int]]]:
+    """(statistics, characters by kind of part) of texts that are not blank."""
+    return [_read(t, common, *c) for t, c in zip(texts, char_counts(texts).tolist())]
+
+
+def _read(text: str, common: CommonWords, solid: int, digits: int, symbols: int, wide: int) -> tuple[dict[str, float], dict[str, int]]:
     lines = text.splitlines()
     full = [i for i, x in enumerate(lines) if x.strip()]
-    words = WORD.findall(text.casefold())
+    find = (ASCII_WORD if text.isascii() else WORD).findall
+    words_of = {i: find(lines[i].casefold()) for i in full}
+    words = [w for own in words_of.values() for w in own]
     n_words = len(words)
-    wide = len(WIDE.findall(text))
-    common_hits = sum(map(common.alone.__contains__, words))
     within = common.within.findall(text) if wide else []
-    solid = len(text) - sum(map(text.count, " \n\t\r"))
-    symbols = len(SYMBOL.findall(text))
-    garbled = sum(map(len, GARBLED.findall(text)))
+    garbled = 0 if text.isascii() else sum(map(len, GARBLED.findall(text)))
     stats = {
         "n_words": n_words,
-        "mean_word_length": sum(map(len, words)) / n_words if n_words else 0.0,
+        "mean_word_length": len("".join(words)) / n_words if n_words else 0.0,
         "symbol_ratio": symbols / max(1, solid),
-        "digit_ratio": sum(map(str.isdigit, text)) / max(1, solid),
-        "punctuated_lines": sum(bool(ENDS.search(lines[i])) for i in full) / len(full),
-        "common_words": (common_hits + len(within)) / max(1, n_words + wide // 2 * bool(within) ),
+        "digit_ratio": digits / max(1, solid),
+        "punctuated_lines": sum(ENDS.search(lines[i], max(0, len(lines[i]) - TAIL)) is not None for i in full) / len(full),
+        "common_words": (sum(map(common.alone.__contains__, words)) + len(within)) / max(1, n_words + wide // 2 * bool(within)),
         "distinct_words": len(set(words)) / n_words if n_words else 0.0,
     }
-    return stats, _parts(text, lines, full, common, garbled, solid)
+    parts = _parts(text, lines, full, words_of, common, garbled, solid, wide)
+    total = max(1, sum(parts.values()))
+    return stats | {f"{k}_share": parts[k] / total for k in KINDS}, parts
 
 
-def _parts(text, lines, full, common, garbled, solid) -> dict[str, int]:
-    parts = {"prose": 0, "list": 0, "table": 0, "junk": 0}
+def _parts(text, lines, full, words_of, common, garbled, solid, wide) -> dict[str, int]:
+    parts = {"prose": 0, **dict.fromkeys(KINDS, 0)}
     if garbled > solid * 0.1 or _repeats(text):
         parts["junk"] = len(text)
         return parts
     table = _table_lines(lines) if len(full) > 1 else set()
-    marked = {i for i in full if i not in table and MARK.match(lines[i])}
+    marks = {i: m.end() for i in full if i not in table and (m := MARK.match(lines[i]))}
     kinds = {}
     for i in full:
         line = lines[i]
         if i in table or (table and RULE.match(line)):
             kinds[i] = "table"
             continue
-        body = line[MARK.match(line).end():] if i in marked else line.strip()
-        tokens = body.split()
-        words = WORD.findall(body.casefold())
-        wide = WIDE.search(body)
+        body = line[marks[i] :] if i in marks else line.strip()
+        tokens, words = body.split(), words_of[i]
         sense = common.within.search(body) is not None if wide else False
         share = sum(map(common.alone.__contains__, words)) / max(1, len(words))
         sentences = len(STOP.findall(body))
-        if i in marked and len(marked) >= 2:
+        # dumps: words of a letter or two between digits, or many words in one token
+        coded = not wide and len(words) > 7 and (len(tokens) * 3 < len(words) or len("".join(words)) < 2.5 * len(words))
+        if i in marks and len(marks) >= 2:
             kinds[i] = "list" if sentences <= 1 else "prose"
+        elif coded:
+            kinds[i] = "?"
         elif sense or (share >= 0.18 and len(words) >= 4) or (share >= 0.1 and len(words) >= 8 and sentences):
             kinds[i] = "prose"
         elif sentences and sum(len(w) > 2 and VOWEL.search(w) is not None for w in words) >= 3:
@@ -120,7 +151,7 @@ def _parts(text, lines, full, common, garbled, solid) -> dict[str, int]:
     short = {i for i in rest if kinds[i] == "bare"}
     if len(short) < 3 or len(short) * 2 <= len(rest):
         # phrases, one per line, are a bare list even if they hold common words; lines of wrapped prose break mid-phrase
-        phrases = {i for i in rest if _phrase(lines[i], common)}
+        phrases = {i for i in rest if _phrase(lines[i], words_of[i], common)}
         short = phrases if len(phrases) >= 3 and len(phrases) >= 0.8 * len(rest) else set()
     for i in full:
         kind, size = kinds[i], len(lines[i])
@@ -139,19 +170,12 @@ def _parts(text, lines, full, common, garbled, solid) -> dict[str, int]:
 def _repeats(text: str) -> bool:
     """Whether one token, no row of cells, makes up more than half of a text of eight or more, separators left out."""
     tokens = [t for t in text.split() if t not in SEPARATORS]
-    if len(tokens) < 8:
+    if len(tokens) < 8 or len(set(tokens)) > len(tokens) // 2 + 1:  # too many others for one to be the half
         return False
     token, often = Counter(tokens).most_common(1)[0]
     return often * 2 > len(tokens) and not any(token.strip(x).count(x) >= 2 for x in SEPARATORS)
 
 
-def _phrase(line: str, common: CommonWords) -> bool:
+def _phrase(line: str, words: list[str], common: CommonWords) -> bool:
     """Whether a line may be an item by itself: short, with no sentence going on in it or beyond it."""
-    words = WORD.findall(line.casefold())
     return 2 <= len(words) <= 12 and words[-1] not in common.alone and not INNER_STOP.search(line) and not line.rstrip().endswith((",", ";"))
-
-
-def kind_of(parts: dict[str, int]) -> str | None:
-    """list, table or junk if that is the larger part of a text, else None."""
-    kind = max(("list", "table", "junk"), key=parts.__getitem__)
-    return kind if parts[kind] > 0 and sum(parts[k] for k in ("list", "table", "junk")) > parts["prose"] else None

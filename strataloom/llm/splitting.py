@@ -1,18 +1,22 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries, range by range.
 
-A text is cut into ranges of `range_chars`; a worker sees one range with a few characters of halo on either side and
-finds where tokens (maximal runs without Unicode white space) begin, and how strong the boundary before each is:
-3 paragraph (two line breaks or more), 2 line, 1 sentence end, 0 neither. What a range cannot know (tokens before it,
-the last token's end, line breaks and sentence end since then, the starts of the last tokens) comes from a table of
-range summaries that is folded in order, with prefix sums of the token counts. No worker holds more than one range.
+1. Every text is cut into ranges of `range_chars`; of a range, with a few characters of halo on either side, a worker
+   finds where tokens (maximal runs without Unicode white space) begin, and how strong the boundary before each is:
+   3 paragraph (two line breaks or more), 2 line, 1 sentence end, 0 neither. That boundary table and a summary of the
+   range are written to the shared folder, compressed.
+2. What a range cannot know (tokens before it, the last token's end, line breaks and sentence end since then, the starts
+   of the last tokens) comes from the summaries, folded in order with prefix sums of the token counts. The one range of
+   a short text has nothing before it.
+3. Each range finds the cuts in it and hands out the pieces that begin and end in it. Cuts whose window reaches into
+   another range, and the two ends of pieces that do, meet by (text, strategy, number), so that no task gathers a text.
 
 Cuts lie on a grid, so that each is found where it lies and giant texts are cut in parallel: with room = size - overlap
 and slack = room // 2, the k-th cut is the strongest boundary, the latest of equals, among the `slack` boundaries up to
 token overlap + k * (room - slack). Piece k begins `overlap` tokens before cut k - 1 and ends at cut k; it never exceeds `size`,
 and consecutive pieces share exactly `overlap` tokens. Texts within the size are one piece.
 
-Texts of one range take a single narrow pass; those of several are spread by range. Files are read by byte range in the
-same way, never whole. Offsets count code points (bytes for files), so pieces can be cut out of the source later.
+Files are read by byte range in the same way, spread over the workers, never whole. Offsets count code points (bytes for
+files), so pieces can be cut out of the source later. A file that is not UTF-8 in every range is read as Latin-1 in all.
 
 Defined cases: null texts and texts without tokens have no pieces; a strategy whose size is null or below 1 is left
 out, an overlap is taken between 0 and size - 1, null as 0; deliveries of one key are taken to carry the same text and
@@ -25,14 +29,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.session import cut_lineage
+from strataloom.session import write_shared
 
-RANGE_CHARS = 1_000_000
+RANGE_CHARS = 16_384
+RANGE_BYTES = 8 << 20
 MOST_STRATEGIES = 1000
 HALO = 4
 BATCH_CHARS = 2_000_000
@@ -85,10 +89,8 @@ def read_strategies(strategies: DataFrame) -> list[Strategy]:
     return [Strategy(a, b, n, min(max(o or 0, 0), n - 1)) for a, b, n, o in sorted(map(tuple, rows), key=str) if n is not None and n >= 1]
 
 
-def scan(chars: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token starts, token ends (exclusive), whether each end closes a sentence, and line breaks before each position.
-
-    fresh marks the first characters of texts that lie end to end; a line break has been put before each."""
+def scan(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token starts, token ends (exclusive), whether each end closes a sentence, and line breaks before each position."""
     kind = _CLASS[np.minimum(chars, _TOP)]
     solid = (kind & 1) == 0
     edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
@@ -120,177 +122,245 @@ def candidates(tokens: int, total: int, strength: np.ndarray, s: Strategy) -> tu
 
 _MASK = (1 << 40) - 1
 PIECE = "strategy_name string, strategy_version string, piece_no int, n_pieces int, first_token bigint, n_tokens bigint, char_start bigint, char_end bigint"
+SUMMARY = "n_starts bigint, last_starts binary, last_end bigint, all_breaks bigint, breaks_first bigint, breaks_last bigint, sentence_last boolean"
+TABLE = f"range_no int, n_ranges int, offset bigint, starts binary, ends binary, strength binary, {SUMMARY}"
+CARRY = "range_no int, total bigint, tokens bigint, c_starts binary, c_end bigint, c_breaks bigint, c_sentence boolean, closes boolean"
+_NAMES = {x: [f.split()[0] for f in x.split(", ")] for x in (PIECE, SUMMARY, TABLE, CARRY)}
 
 
-def pieces_of(starts: np.ndarray, ends: np.ndarray, strength: np.ndarray, s: Strategy) -> list[np.ndarray]:
-    """first_token, n_tokens, char_start, char_end of the pieces of a whole text."""
-    n = len(starts)
-    if n <= s.size:
-        cuts = np.array([n])
-    else:
-        cuts = np.append(candidates(0, n, strength, s)[1] & _MASK, n)
-    first = np.concatenate([[0], cuts[:-1] - s.overlap])
-    return [first, cuts - first, starts[first], ends[cuts - 1]]
-
-
-def _pack(keys: list[pa.Array], names: list[str], blocks: list[tuple]) -> pa.RecordBatch:
-    """Blocks (row of the key, strategy, columns) as one batch."""
-    rows = np.concatenate([np.full(len(c[0]), r) for r, _, c in blocks]) if blocks else np.zeros(0, np.int64)
-    cols = [np.concatenate([c[i] for _, _, c in blocks]) if blocks else np.zeros(0, np.int64) for i in range(4)]
-    number = np.concatenate([np.arange(len(c[0])) for *_, c in blocks]) if blocks else rows
-    count = np.concatenate([np.full(len(c[0]), len(c[0])) for *_, c in blocks]) if blocks else rows
-    name = [s.name for _, s, c in blocks for _ in range(len(c[0]))]
-    version = [s.version for _, s, c in blocks for _ in range(len(c[0]))]
-    take = pa.array(rows, pa.int64())
-    arrays = [k.take(take) for k in keys] + [pa.array(name, pa.string()), pa.array(version, pa.string()), pa.array(number, pa.int32()), pa.array(count, pa.int32())]
-    return pa.RecordBatch.from_arrays(arrays + [pa.array(c, pa.int64()) for c in cols], [*names, "strategy_name", "strategy_version", "piece_no", "n_pieces", "first_token", "n_tokens", "char_start", "char_end"])
-
-
-def _short_texts(source: DataFrame, keys: list[str], strategies: list[Strategy], only_cut: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            texts = whole.column(len(keys)).to_pylist()
-            size = np.cumsum([len(t) for t in texts])
-            at = 0
-            while at < len(texts):
-                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_CHARS, side="right")))
-                yield one([whole.column(i).slice(at, end - at) for i in range(len(keys))], texts[at:end])
-                at = end
-
-    def one(key_columns: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
-        chars = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), np.uint32)
-        begin = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1]
-        starts, ends, sentence, lines = scan(chars)
-        strength = np.zeros(len(starts), np.int64)
-        strength[1:] = strengths(lines[starts[1:]] - lines[ends[:-1]], sentence[:-1])
-        bounds = np.searchsorted(starts, np.append(begin, len(chars)))
-        counts = np.diff(bounds)
-        blocks = []
-        for s in strategies:
-            for d in np.flatnonzero(counts > (s.size if only_cut else 0)):
-                a, b = bounds[d], bounds[d + 1]
-                blocks.append((d, s, pieces_of(starts[a:b] - begin[d], ends[a:b] - begin[d], strength[a:b], s)))
-        return _pack(key_columns, names, blocks)
-
-    names = [f"__k{i}" for i in range(len(keys))]
-    schema = ", ".join([f"{n} {source.schema[n].dataType.simpleString()}" for n in names] + [PIECE])
-    return source.mapInArrow(run, schema)
+def scan_ranges(parts: list[str], leads: list[int], cores: list[int], most_overlap: int) -> list[tuple]:
+    """Boundary table and summary of each range: `lead` characters of halo, `core` own ones, halo or the text's end.
 
+    Positions count from the core's start. A token belongs to the range it begins in, an end to that of the token's last
+    character. ends has the end before each start, -1 if none is in this range; the strength of such a start counts line
+    breaks since the core's start (breaks_first) and is mended when the carry is known."""
+    chars = np.frombuffer("\n".join(["", *parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts, ends, sentence, lines = scan(chars)
+    size = np.array([len(p) for p in parts], np.int64)
+    begin = np.cumsum(np.concatenate([[1], size[:-1] + 1]))
+    low = begin + np.array(leads, np.int64)  # of the core
+    high = low + np.array(cores, np.int64)
+    s0, s1 = np.searchsorted(starts, low), np.searchsorted(starts, high)
+    # a token that runs on into the halo ends in the next range
+    e0, e1 = np.searchsorted(ends, low, side="right"), np.searchsorted(ends, high, side="right")
+    out = []
+    for i in range(len(parts)):
+        a, b, c, d = int(s0[i]), int(s1[i]), int(e0[i]), int(e1[i])
+        own_starts, own_ends = starts[a:b], ends[c:d]
+        before = np.searchsorted(own_ends, own_starts, side="right") - 1
+        known = before >= 0
+        if len(own_ends):
+            at = own_ends[before]
+            breaks = np.where(known, lines[own_starts] - lines[at], lines[own_starts] - lines[low[i]])
+            strength = strengths(breaks, known & sentence[c:d][before])
+            ends_before = np.where(known, at - low[i], -1)
+        else:
+            breaks = lines[own_starts] - lines[low[i]]
+            strength, ends_before = strengths(breaks, known), np.full(len(own_starts), -1)
+        all_breaks = int(lines[high[i]] - lines[low[i]])
+        summary = (
+            b - a, (own_starts[-most_overlap:] - low[i] if most_overlap else own_starts[:0]), int(own_ends[-1] - low[i]) if d > c else -1, all_breaks, int(breaks[0]) if b > a and not known[0] else -1,
+            int(lines[high[i]] - lines[own_ends[-1]]) if d > c else all_breaks, bool(sentence[d - 1]) if d > c else False,
+        )
+        out.append((own_starts - low[i], ends_before, strength, summary))
+    return out
 
-RANGE = "n_starts bigint, last_starts array<bigint>, last_end bigint, all_breaks bigint, breaks_first bigint, breaks_last bigint, sentence_last boolean"
 
+def _tables(keys: list[pa.Array], names: list[str], rows: list[int], head: list[tuple], scanned: list[tuple], units: list | None = None) -> pa.RecordBatch:
+    """Range tables as a batch; head has (range_no, n_ranges, offset) of each, units maps positions to bytes."""
+    cols: list[list] = [[] for _ in _NAMES[TABLE]]
+    for i, (starts, ends, strength, summary) in enumerate(scanned):
+        last_starts, last_end = summary[1], summary[2]
+        if units is not None:
+            u = units[i]
+            starts, ends, last_starts = u[starts], np.where(ends >= 0, u[np.maximum(ends, 0)], -1), u[last_starts]
+            last_end = int(u[last_end]) if last_end >= 0 else -1
+        values = (*head[i], np.diff(starts, prepend=0).astype(np.int32).tobytes(), np.where(ends >= 0, starts - ends, -1).astype(np.int32).tobytes(), strength.astype(np.uint8).tobytes(), summary[0], last_starts.astype(np.int64).tobytes(), last_end, *summary[3:])
+        for col, v in zip(cols, values):
+            col.append(v)
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    types = [kinds[f.split()[1]] for f in TABLE.split(", ")]
+    take = pa.array(rows, pa.int64())
+    return pa.RecordBatch.from_arrays([*(k.take(take) for k in keys), *(pa.array(c, t) for c, t in zip(cols, types))], [*names, *_NAMES[TABLE]])
 
-def scan_range(text: str, lead: int, core: int, most_overlap: int):
-    """One range with `lead` characters of halo before its `core` characters: its boundary table and its summary.
 
-    Positions count from the core's start. The strength before the first token holds only if a token ended here before."""
-    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    starts, ends, sentence, lines = scan(chars)
-    starts = starts[(starts >= lead) & (starts < lead + core)]  # at 0 with a halo the token began before
-    # an end belongs to the range that holds the token's last character; at the text's edge the halo is missing
-    own = (ends > lead) & (ends <= lead + core) & ((ends < len(chars)) | (lead + core == len(chars)))
-    ends, sentence = ends[own], sentence[own]
-    before = np.searchsorted(ends, starts, side="right") - 1
-    known = before >= 0
-    breaks = np.where(known, lines[starts] - lines[ends[before]] if len(ends) else 0, lines[starts] - lines[lead])
-    flags = np.where(known, sentence[before] if len(ends) else False, False)
-    strength = strengths(breaks, flags)
-    last_end = int(ends[-1]) if len(ends) else -1
-    all_breaks = int(lines[lead + core] - lines[lead])
-    summary = {
-        "n_starts": len(starts), "last_starts": (starts[-most_overlap:] - lead).tolist() if most_overlap else [], "last_end": last_end - lead if len(ends) else -1,
-        "all_breaks": all_breaks, "breaks_first": int(breaks[0]) if len(starts) and not known[0] else -1,
-        "breaks_last": int(lines[lead + core] - lines[last_end]) if len(ends) else all_breaks, "sentence_last": bool(sentence[-1]) if len(ends) else False,
-    }
-    return starts - lead, np.where(known, ends[before] - lead if len(ends) else -1, -1), strength, summary
-
-
-def fold(rows: pd.DataFrame, most_overlap: int) -> list[Carry]:
+def range_tables(source: DataFrame, names: list[str], range_chars: int, most_overlap: int) -> DataFrame:
+    """A row for each range of each text: its boundary table and summary."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(i) for i in range(len(names))]
+            held: tuple[list, ...] = ([], [], [], [], [])
+            size = 0
+            for row, text in enumerate(batch.column(len(names)).to_pylist()):
+                count = max(1, -(-len(text) // range_chars))
+                for no in range(count):
+                    at = no * range_chars
+                    lead = min(at, HALO)
+                    part = text[at - lead : at + range_chars + HALO] if count > 1 else text
+                    for column, value in zip(held, (row, (no, count, at), part, lead, min(range_chars, len(text) - at))):
+                        column.append(value)
+                    size += len(part)
+                    if size >= BATCH_CHARS:
+                        yield _tables(keys, names, held[0], held[1], scan_ranges(*held[2:], most_overlap))
+                        held, size = ([], [], [], [], []), 0
+            if held[0]:
+                yield _tables(keys, names, held[0], held[1], scan_ranges(*held[2:], most_overlap))
+
+    return source.mapInArrow(run, f"{_key_schema(source, names)}, {TABLE}")
+
+
+def _key_schema(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def fold(rows: list[dict], most_overlap: int) -> list[Carry]:
     """The carry of each range from the summaries of one text's ranges, in order."""
-    out, c = [], Carry(total=int(rows.n_starts.sum()))
-    for r in rows.itertuples():
+    out, c = [], Carry(total=sum(r["n_starts"] for r in rows))
+    for r in rows:
         out.append(Carry(c.total, c.tokens, c.starts, c.end, c.breaks, c.sentence))
-        c.tokens += int(r.n_starts)
+        c.tokens += r["n_starts"]
         if most_overlap:
-            c.starts = np.concatenate([c.starts, np.asarray(r.last_starts, np.int64) + r.offset])[-most_overlap:]
-        if r.last_end >= 0:
-            c.end, c.breaks, c.sentence = int(r.last_end + r.offset), int(r.breaks_last), bool(r.sentence_last)
+            c.starts = np.concatenate([c.starts, np.frombuffer(r["last_starts"], np.int64) + r["offset"]])[-most_overlap:]
+        if r["last_end"] >= 0:
+            c.end, c.breaks, c.sentence = r["last_end"] + r["offset"], r["breaks_last"], r["sentence_last"]
         else:
-            c.breaks += int(r.all_breaks)
+            c.breaks += r["all_breaks"]
     return out
 
 
-def _long_texts(ranges: DataFrame, read, keys: list[str], key_types: list[str], strategies: list[Strategy], most_overlap: int) -> DataFrame:
-    """Pieces of texts of several ranges. ranges: __k*, range_no, offset, lead, core and what `read` needs to get the text."""
-    names = [f"__k{i}" for i in range(len(keys))]
-    key_schema = ", ".join(f"{n} {t}" for n, t in zip(names, key_types))
-
-    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(len(frame)):
-                row = frame.iloc[i]
-                text, lead, core, units = read(row)
-                starts, ends, strength, summary = scan_range(text, lead, core, most_overlap)
-                if units is not None:  # positions in bytes
-                    summary["last_starts"] = units[np.asarray(summary["last_starts"], np.int64)].tolist()
-                    summary["last_end"] = int(units[summary["last_end"]]) if summary["last_end"] >= 0 else -1
-                    starts, ends = units[starts], np.where(ends >= 0, units[np.maximum(ends, 0)], -1)
-                yield pd.DataFrame([{n: row[n] for n in names} | {"range_no": row["range_no"], "offset": row["offset"], "starts": starts.tolist(), "ends": ends.tolist(), "strength": strength.tolist()} | summary])
-
-    table_schema = f"{key_schema}, range_no int, offset bigint, starts array<bigint>, ends array<bigint>, strength array<int>, {RANGE}"
-    scanned = cut_lineage(ranges.mapInPandas(tables, table_schema))
-
-    def carry(rows: pd.DataFrame) -> pd.DataFrame:  # one row for each range of one text, at most 2 GB / range_chars
-        rows = rows.sort_values("range_no")
+def carries(scanned: DataFrame, names: list[str], most_overlap: int) -> DataFrame:
+    """CARRY for each range of the texts of several, by a pass over the summaries in order."""
+    summaries = scanned.filter("n_ranges > 1").select(*names, "range_no", "offset", *_NAMES[SUMMARY])
+    ordered = summaries.repartition(*names).sortWithinPartitions(*names, "range_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(row[n] != held[0][n] for n in names):
+                    yield carried(held, batch.schema)
+                    held = []
+                if not held or row["range_no"] != held[-1]["range_no"]:  # a key delivered again
+                    held.append(row)
+        if held:
+            yield carried(held, batch.schema)
+
+    def carried(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+        closing = max((i for i, r in enumerate(rows) if r["last_end"] >= 0), default=-1)  # holds the text's last end
         found = fold(rows, most_overlap)
-        return rows[[*names, "range_no"]].assign(total=[c.total for c in found], tokens=[c.tokens for c in found], c_starts=[c.starts.tolist() for c in found], c_end=[c.end for c in found], c_breaks=[c.breaks for c in found], c_sentence=[c.sentence for c in found])
-
-    carry_schema = f"{key_schema}, range_no int, total bigint, tokens bigint, c_starts array<bigint>, c_end bigint, c_breaks bigint, c_sentence boolean"
-    carried = scanned.drop("starts", "ends", "strength").groupBy(*names).applyInPandas(carry, carry_schema)
-
-    def cuts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                starts, ends = np.asarray(r.starts, np.int64) + r.offset, np.asarray(r.ends, np.int64)
-                ends = np.where(ends >= 0, ends + r.offset, r.c_end)
-                strength = np.asarray(r.strength, np.int64).copy()
-                if r.breaks_first >= 0 and len(strength):
-                    strength[0] = strengths(np.array([r.c_breaks + r.breaks_first]), np.array([r.c_sentence]))[0]
-                reach = np.concatenate([np.asarray(r.c_starts, np.int64), starts])
-                shift = len(reach) - len(starts)
-                out = []
-                for i, s in enumerate(strategies):
-                    if len(starts) and r.tokens == 0:
-                        out.append((i, 0, 0, 0, -1, int(starts[0]), r.total))
-                    if r.total > s.size:
-                        for k, v in zip(*(x.tolist() for x in candidates(r.tokens, r.total, strength, s))):
-                            at = (v & _MASK) - r.tokens
-                            out.append((i, k, v >> 40, v & _MASK, int(ends[at]), int(reach[at + shift - s.overlap]), r.total))
-                # the text's last end closes the last piece; later ranges without a token end give -1
-                end = int(r.last_end + r.offset) if r.last_end >= 0 else -1
-                out += [(i, -1, 0, 0, end, -1, r.total) for i in range(len(strategies))]
-                key = {n: getattr(r, f"k{j}") for j, n in enumerate(names)}
-                yield pd.DataFrame(out, columns=["strategy", "k", "strength", "token", "end_before", "start_from", "total"]).assign(**key)[[*names, "strategy", "k", "strength", "token", "end_before", "start_from", "total"]]
-
-    both = scanned.join(carried, [*names, "range_no"])
-    for j, n in enumerate(names):
-        both = both.withColumn(f"k{j}", F.col(n))
-    cut_schema = f"{key_schema}, strategy int, k bigint, strength int, token bigint, end_before bigint, start_from bigint, total bigint"
-    best = both.mapInPandas(cuts, cut_schema).groupBy(*names, "strategy", "k").agg(
-        F.max(F.struct("strength", "token", "end_before", "start_from")).alias("best"), F.max("total").alias("total"))
-    text_end = best.filter("k = -1").select(*names, "strategy", F.col("best.end_before").alias("text_end"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*names, "strategy").orderBy("k")
-    cut = best.filter("k >= 0").join(text_end, [*names, "strategy"])
-    spec = cut.sparkSession.createDataFrame([(i, s.name, s.version, s.overlap) for i, s in enumerate(strategies)], "strategy int, strategy_name string, strategy_version string, overlap int")
-    rows = cut.withColumns({
-        "next_token": F.coalesce(F.lead("best.token").over(order), F.col("total")),
-        "next_end": F.coalesce(F.lead("best.end_before").over(order), F.col("text_end")),
-        "n_pieces": F.count("*").over(Window.partitionBy(*names, "strategy")).cast("int"),
-    }).join(F.broadcast(spec), "strategy")  # at most MOST_STRATEGIES rows
-    first = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.col("best.token") - F.col("overlap"))
-    return rows.select(*names, "strategy_name", "strategy_version", F.col("k").cast("int").alias("piece_no"), "n_pieces", first.cast("bigint").alias("first_token"), (F.col("next_token") - first).cast("bigint").alias("n_tokens"), F.col("best.start_from").alias("char_start"), F.col("next_end").alias("char_end"))
+        arrays = [pa.array([r[n] for r in rows], schema.field(n).type) for n in [*names, "range_no"]]
+        arrays += [pa.array([c.total for c in found], pa.int64()), pa.array([c.tokens for c in found], pa.int64()), pa.array([c.starts.astype(np.int64).tobytes() for c in found], pa.binary()), pa.array([c.end for c in found], pa.int64()), pa.array([c.breaks for c in found], pa.int64()), pa.array([c.sentence for c in found], pa.bool_()), pa.array([i == closing for i in range(len(rows))], pa.bool_())]
+        return pa.RecordBatch.from_arrays(arrays, [*names, *_NAMES[CARRY]])
+
+    return ordered.mapInArrow(run, f"{_key_schema(scanned, names)}, {CARRY}")
+
+
+CUT = "strategy int, k bigint, value bigint, end_before bigint, start_from bigint, total bigint, first_token bigint, end_token bigint, char_start bigint, char_end bigint"
+
+
+def cuts_of(starts: np.ndarray, ends: np.ndarray, strength: np.ndarray, tokens: int, total: int, reach: np.ndarray, closing: int, s: Strategy) -> tuple[np.ndarray, np.ndarray]:
+    """Of one range the pieces that lie in it (k, first_token, end_token, char_start, char_end), and the cuts (k, value,
+    end_before, start_from, whether the piece that begins and the one that ends with it are complete) of the others; closing is the text's last end or -1.
+
+    Cut 0 is the text's beginning and the last cut its end. reach has the starts of the tokens before the range, then
+    starts."""
+    n, shift = len(starts), len(reach) - len(starts)
+    last = -(-(total - s.overlap) // s.step) if total > s.size else 1
+    k, value = candidates(tokens, total, strength, s) if total > s.size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    top = s.overlap + k * s.step
+    whole = (top - max(s.slack, 1) + 1 >= tokens) & (top < tokens + n)  # windows that no other range has a part of
+    token = value & _MASK
+    end_before, start_from = ends[token - tokens], reach[token - tokens + shift - s.overlap]
+    if tokens == 0 and n:
+        k, value, whole = np.r_[0, k], np.r_[0, value], np.r_[True, whole]
+        end_before, start_from, token = np.r_[-1, end_before], np.r_[starts[0], start_from], np.r_[s.overlap, token]
+    if closing >= 0:
+        k, value, whole = np.r_[k, last], np.r_[value, total], np.r_[whole, True]
+        end_before, start_from, token = np.r_[end_before, closing], np.r_[start_from, -1], np.r_[token, total]
+    on = np.flatnonzero(whole[:-1] & whole[1:] & (k[1:] == k[:-1] + 1)) if len(k) else np.zeros(0, np.int64)
+    pieces = np.stack([k[on], token[on] - s.overlap, token[on + 1], start_from[on], end_before[on + 1]])
+    # a cut is done with if the pieces on both sides of it are; else only its open side counts
+    begun, ended = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    begun[on], ended[on + 1] = True, True
+    left = ~((begun | (k == last)) & (ended | (k == 0)))
+    return pieces, np.stack([k, value, end_before, start_from, begun.astype(np.int64), ended.astype(np.int64)])[:, left]
+
+
+def pieces_in(tables: DataFrame, names: list[str], strategies: list[Strategy], only_cut: bool) -> DataFrame:
+    """CUT rows of range tables that carry TABLE and CARRY: complete pieces have a null value, cuts a null first_token."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            cell = {n: column[n].to_pylist() for n in [*_NAMES[TABLE], *_NAMES[CARRY]]}
+            rows, strategy, done, parts, totals = [], [], [], [], []
+            open_rows, open_strategy, open_totals = [], [], []
+            for i in range(batch.num_rows):
+                total, tokens, offset = cell["total"][i], cell["tokens"][i], cell["offset"][i]
+                wanted = [j for j, s in enumerate(strategies) if total > (s.size if only_cut else 0)]
+                if not wanted:
+                    continue
+                starts = np.cumsum(np.frombuffer(cell["starts"][i], np.int32), dtype=np.int64) + offset
+                gap = np.frombuffer(cell["ends"][i], np.int32)
+                ends = np.where(gap >= 0, starts - gap, cell["c_end"][i])
+                strength = np.frombuffer(cell["strength"][i], np.uint8).astype(np.int64)
+                if cell["breaks_first"][i] >= 0 and tokens:
+                    strength[0] = strengths(np.array([cell["c_breaks"][i] + cell["breaks_first"][i]]), np.array([cell["c_sentence"][i]]))[0]
+                reach = np.concatenate([np.frombuffer(cell["c_starts"][i], np.int64), starts])
+                closing = cell["last_end"][i] + offset if cell["closes"][i] else -1
+                for j in wanted:
+                    pieces, cuts = cuts_of(starts, ends, strength, tokens, total, reach, closing, strategies[j])
+                    for found, numbers, kept, which, sums in ((pieces, done, rows, strategy, totals), (cuts, parts, open_rows, open_strategy, open_totals)):
+                        if found.shape[1]:
+                            numbers.append(found)
+                            kept.append(np.full(found.shape[1], i))
+                            which.append(np.full(found.shape[1], j, np.int32))
+                            sums.append(np.full(found.shape[1], total))
+            for numbers, kept, which, sums, whole in ((done, rows, strategy, totals, True), (parts, open_rows, open_strategy, open_totals, False)):
+                if numbers:
+                    x = np.concatenate(numbers, axis=1)
+                    take, none = pa.array(np.concatenate(kept)), pa.nulls(x.shape[1], pa.int64())
+                    own = [pa.array(v) for v in x[1:]]
+                    if whole:
+                        values = [none, none, none, pa.array(np.concatenate(sums)), *own]
+                    else:  # a side whose piece is complete is not asked for
+                        begun, ended = x[4] == 1, x[5] == 1
+                        values = [own[0], pa.array(x[2], mask=ended), pa.array(x[3], mask=begun), pa.array(np.concatenate(sums)), none, none, none, none]
+                    yield pa.RecordBatch.from_arrays([*(column[n].take(take) for n in names), pa.array(np.concatenate(which)), pa.array(x[0]), *values], [*names, *(f.split()[0] for f in CUT.split(", "))])
+
+    return tables.mapInArrow(run, f"{_key_schema(tables, names)}, {CUT}")
+
+
+def stitched(found: DataFrame, names: list[str], strategies: list[Strategy]) -> DataFrame:
+    """names and PIECE: the complete pieces, and those made of the cuts of several ranges."""
+    spark = found.sparkSession
+    spec = spark.createDataFrame([(i, s.name, s.version, s.size, s.overlap, s.step) for i, s in enumerate(strategies)], "strategy int, strategy_name string, strategy_version string, size int, overlap int, step int")
+    found = found.join(F.broadcast(spec), "strategy")  # at most MOST_STRATEGIES rows
+    count = F.when(F.col("total") > F.col("size"), F.ceil((F.col("total") - F.col("overlap")) / F.col("step"))).otherwise(1).cast("int")
+    found = found.withColumn("n_pieces", count)
+    piece = ["strategy_name", "strategy_version", F.col("k").cast("int").alias("piece_no"), "n_pieces"]
+    whole = found.filter("value is null").select(*names, *piece, "first_token", (F.col("end_token") - F.col("first_token")).alias("n_tokens"), "char_start", "char_end")
+    place = [*names, "strategy_name", "strategy_version", "overlap", "n_pieces", "k"]
+    best = found.filter("value is not null").groupBy(*place).agg(F.max(F.struct("value", "end_before", "start_from")).alias("best"))
+    token = F.col("best.value").bitwiseAND(F.lit(_MASK))
+    begin = F.struct(F.col("k").alias("piece"), F.when(F.col("k") == 0, 0).otherwise(token - F.col("overlap")).alias("first"), F.col("best.start_from").alias("char_start"), F.lit(None).cast("bigint").alias("end"), F.lit(None).cast("bigint").alias("char_end"))
+    end = F.struct((F.col("k") - 1).alias("piece"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("char_start"), token.alias("end"), F.col("best.end_before").alias("char_end"))
+    halves = best.select(*names, "strategy_name", "strategy_version", "n_pieces", F.explode(F.filter(F.array(F.when(F.col("k") < F.col("n_pieces"), begin), F.when(F.col("k") > 0, end)), lambda h: h.isNotNull())).alias("h")).select("*", "h.*").drop("h")
+    asked = halves.filter("char_start is not null or char_end is not null")
+    joined = asked.groupBy(*names, "strategy_name", "strategy_version", "n_pieces", "piece").agg(*(F.max(c).alias(c) for c in ("first", "char_start", "end", "char_end")))
+    made = joined.select(*names, "strategy_name", "strategy_version", F.col("piece").cast("int").alias("piece_no"), "n_pieces", F.col("first").alias("first_token"), (F.col("end") - F.col("first")).alias("n_tokens"), "char_start", "char_end")
+    return whole.unionByName(made)
+
+
+def _pieces(tables: DataFrame, names: list[str], strategies: list[Strategy], only_cut: bool) -> DataFrame:
+    overlap = max((s.overlap for s in strategies), default=0)
+    scanned = write_shared(tables)
+    nothing = {"total": F.col("n_starts"), "tokens": F.lit(0).cast("bigint"), "c_starts": F.lit(b""), "c_end": F.lit(-1).cast("bigint"), "c_breaks": F.lit(0).cast("bigint"), "c_sentence": F.lit(False), "closes": F.col("last_end") >= 0}
+    alone = scanned.filter("n_ranges = 1").select("*", *(c.alias(n) for n, c in nothing.items()))
+    several = scanned.filter("n_ranges > 1").join(carries(scanned, names, overlap), [*names, "range_no"])
+    columns = [*names, *_NAMES[TABLE], *(n for n in _NAMES[CARRY] if n != "range_no")]
+    both = alone.select(*columns).unionByName(several.select(*columns))
+    pieces = stitched(pieces_in(both, names, strategies, only_cut), names, strategies)
+    return pieces.dropDuplicates([*names, "strategy_name", "strategy_version", "piece_no"])
 
 
 def split_texts(df: DataFrame, strategies: DataFrame, keys: list[str], text: str, range_chars: int = RANGE_CHARS, only_cut: bool = False) -> DataFrame:
@@ -300,58 +370,78 @@ def split_texts(df: DataFrame, strategies: DataFrame, keys: list[str], text: str
     known = read_strategies(strategies)
     names = [f"__k{i}" for i in range(len(keys))]
     source = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(text).cast("string").alias("__text")).filter("__text is not null")
-    size = F.char_length("__text")
-    long = source.filter(size > range_chars)
-    out = _short_texts(source.filter(size <= range_chars), keys, known, only_cut)
-    if known and not long.isEmpty():
-        lead = F.when(F.col("range_no") == 0, 0).otherwise(HALO)
-        start = F.col("range_no") * F.lit(range_chars)
-        ranges = (
-            long.dropDuplicates(names).select("*", size.alias("size"), F.explode(F.sequence(F.lit(0), F.ceil(size / range_chars).cast("int") - 1)).alias("range_no"))
-            .select(*names, "range_no", start.cast("bigint").alias("offset"), lead.alias("lead"), F.least(F.lit(range_chars), F.col("size") - start).cast("int").alias("core"), F.substring("__text", start - lead + 1, lead + range_chars + HALO).alias("part"))
-            .repartition(*names, "range_no")
-        )
-        types = [source.schema[n].dataType.simpleString() for n in names]
-        overlap = max(s.overlap for s in known)
-        pieces = _long_texts(ranges, lambda row: (row["part"], int(row["lead"]), int(row["core"]), None), keys, types, known, overlap)
-        out = out.unionByName(pieces.filter("n_pieces > 1") if only_cut else pieces)
-    out = out.dropDuplicates([*names, "strategy_name", "strategy_version", "piece_no"])
-    return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), *[c for c in out.columns if c not in names])
+    out = _pieces(range_tables(source, names, range_chars, max((s.overlap for s in known), default=0)), names, known, only_cut)
+    return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), *_NAMES[PIECE])
 
 
-def split_files(spark: SparkSession, path: str, strategies: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
-    """path and the pieces of UTF-8 files by byte offset. Workers read their byte range and a halo, no file is read whole."""
+def split_files(spark: SparkSession, path: str, strategies: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path and the pieces of files by byte offset. Workers read their byte range and a halo, no file is read whole."""
     known = read_strategies(strategies)
-    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("__k0"), F.col("length").alias("size")).filter("size > 0")
-    ranges = listed.select("__k0", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / range_bytes).cast("int") - 1)).alias("range_no"))
-    ranges = ranges.withColumn("offset", F.col("range_no") * F.lit(range_bytes).cast("bigint")).repartition("__k0", "range_no")
-
-    def read(row):
-        from pyarrow import fs
-
-        system, place = fs.FileSystem.from_uri(row["__k0"])
-        size, offset = int(row["size"]), int(row["offset"])
-        low, high = max(0, offset - 4 * HALO), min(size, offset + range_bytes + 4 * HALO)
-        with system.open_input_file(place) as f:
-            f.seek(low)
-            raw = f.read(high - low)
+    overlap = max((s.overlap for s in known), default=0)
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
+    n = F.ceil(F.col("size") / range_bytes).cast("int")
+    ranges = listed.select("path", "size", n.alias("n_ranges"), F.explode(F.sequence(F.lit(0), n - 1)).alias("range_no")).repartition("path", "range_no")
+
+    def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [_is_utf8(r["path"], r["size"], r["range_no"] * range_bytes, range_bytes) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine)], ["path", "fine"])
+
+    decided = ranges.mapInArrow(valid, "path string, fine boolean").groupBy("path").agg(F.bool_and("fine").alias("utf8"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, r in enumerate(batch.to_pylist()):
+                offset = r["range_no"] * range_bytes
+                text, lead, core, units = _read_range(r["path"], r["size"], offset, range_bytes, r["utf8"])
+                yield _tables([batch.column(0)], ["__k0"], [i], [(r["range_no"], r["n_ranges"], offset)], scan_ranges([text], [lead], [core], overlap), [units])
+
+    tables = ranges.join(decided, "path").select("path", "size", "n_ranges", "range_no", "utf8").mapInArrow(run, f"__k0 string, {TABLE}")
+    return _pieces(tables, ["__k0"], known, False).withColumnRenamed("__k0", "path")
+
+
+def _raw(path: str, low: int, high: int) -> bytes:
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    with system.open_input_file(place) as f:
+        f.seek(low)
+        return f.read(high - low)
+
+
+def _is_utf8(path: str, size: int, offset: int, range_bytes: int) -> bool:
+    """Whether the characters that begin in a range are whole UTF-8 ones."""
+    raw = _raw(path, offset, min(size, offset + range_bytes + 3))
+    begin = next((i for i in range(min(4, len(raw))) if raw[i] & 0xC0 != 0x80), len(raw)) if offset else 0
+    end = len(raw)
+    if offset + range_bytes < size:  # up to the first character that begins in the next range
+        end = next((i for i in range(min(range_bytes, len(raw)), len(raw)) if raw[i] & 0xC0 != 0x80), len(raw))
+    try:
+        raw[begin:end].decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _read_range(path: str, size: int, offset: int, range_bytes: int, utf8: bool) -> tuple[str, int, int, np.ndarray]:
+    """The text of a byte range with its halos, characters of halo before it and of its own, and the byte of each position."""
+    low, high = max(0, offset - 4 * HALO), min(size, offset + range_bytes + 4 * HALO)
+    raw = _raw(path, low, high)
+    if utf8:
         data = np.frombuffer(raw, np.uint8)
         heads = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
+        end = len(raw)
         if high < size:  # the last character may be cut off
-            heads = heads[: np.searchsorted(heads, len(data) - 4, side="right")] if len(data) > 8 else heads
-            whole = raw[heads[0] : heads[-1]]
-            heads = heads[:-1]
-        else:
-            whole = raw[heads[0] :]
-        at = heads + low
-        try:
-            text = whole.decode("utf-8")
-        except UnicodeDecodeError:  # not UTF-8: each byte is a character
-            text, at = raw.decode("latin-1"), np.arange(low, high)
-        lead = int(np.searchsorted(at, offset))
-        core = int(np.searchsorted(at, min(size, offset + range_bytes))) - lead
-        units = np.concatenate([at[lead:], [min(size, high)]]) - offset
-        return text, lead, core, units
+            end, heads = int(heads[-1]), heads[:-1]
+        text, at = raw[heads[0] if len(heads) else 0 : end].decode("utf-8"), heads + low
+        last = end + low
+    else:
+        text, at, last = raw.decode("latin-1"), np.arange(low, high), high
+    lead = int(np.searchsorted(at, offset))
+    core = int(np.searchsorted(at, min(size, offset + range_bytes))) - lead
+    return text, lead, core, np.append(at[lead:], last) - offset
 
-    overlap = max((s.overlap for s in known), default=0)
-    return _long_texts(ranges, read, ["path"], ["string"], known, overlap).withColumnRenamed("__k0", "path")
+
+def piece_text(text: Column | str) -> Column:
+    """The text of a piece, beside char_start and char_end."""
+    return F.substring(text, F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int"))

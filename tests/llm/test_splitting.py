@@ -80,7 +80,7 @@ def want_of(made):
     return want
 
 
-@pytest.mark.parametrize("range_chars", [1_000_000, 64, 11])
+@pytest.mark.parametrize("range_chars", [S.RANGE_CHARS, 64, 11, 3])
 def test_pieces_equal_the_definition(spark, strategies, range_chars):
     made = texts()
     df = spark.createDataFrame([(i, t, 9, "x") for i, t in enumerate(made)] + [(900, None, 9, "x"), (0, made[0], 9, "x")], "d int, t string, n_tokens int, strategy_name string")
@@ -108,3 +108,24 @@ def test_files_by_byte_range(spark, strategies, tmp_path, range_bytes):
     got = {(int(r.path[-7:-4]), r.strategy_name, r.strategy_version, r.piece_no, r.first_token, r.n_tokens, r.char_start, r.char_end) for r in rows}
     want = {(d, a, b, k, f, n, len(made[d][:s].encode()), len(made[d][:e].encode())) for d, a, b, k, f, n, s, e in want_of(made)}
     assert got == want
+
+
+def test_long_text_over_many_ranges(spark, strategies):
+    text = " ".join(f"w{i}{'.' if i % 9 == 0 else ''}" + ("\n\n" if i % 131 == 0 else "") for i in range(30_000))
+    assert len(text) > 10 * S.RANGE_CHARS
+    rows = S.split_texts(spark.createDataFrame([(0, text), (0, text)], "d int, t string"), strategies, ["d"], "t", only_cut=True).collect()
+    got = {(r.d, r.strategy_name, r.strategy_version, r.piece_no, r.first_token, r.n_tokens, r.char_start, r.char_end) for r in rows}
+    assert got == want_of([text]) and len(rows) == len(got) == len({(r.strategy_name, r.strategy_version, r.piece_no) for r in rows})
+
+
+@pytest.mark.parametrize("range_bytes", [37, 64, 1 << 20])
+def test_file_that_is_not_utf8_is_read_one_way(spark, strategies, tmp_path, range_bytes):
+    """One stray byte makes all of the file Latin-1, so that no range takes a byte of a character for white space."""
+    raw = "à la carte. été ".encode() * 9 + b"\xff end" + "voilà là\n".encode() * 9
+    (tmp_path / "000.txt").write_bytes(raw)
+    (tmp_path / "001.txt").write_bytes("à la carte. été ".encode() * 20)
+    rows = S.split_files(spark, str(tmp_path), strategies, range_bytes).collect()
+    got = {(int(r.path[-7:-4]), r.strategy_name, r.strategy_version, r.piece_no, r.first_token, r.n_tokens, r.char_start, r.char_end) for r in rows}
+    plain = "à la carte. été " * 20
+    want = want_of([raw.decode("latin-1")]) | {(1, a, b, k, f, n, len(plain[:s].encode()), len(plain[:e].encode())) for _, a, b, k, f, n, s, e in want_of([plain])}
+    assert got == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         context.setCheckpointDir(configured)
     else:
-        if not context.master.startswith("local"):
+        if not re.match(r"local($|\[)", context.master):  # local-cluster too has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor shares")
         folder = os.path.join(tempfile.gettempdir(), "strataloom-checkpoints")
         os.makedirs(folder, exist_ok=True)
@@ -66,9 +67,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> str:
+    """path, which is deleted when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def write_shared(df: DataFrame) -> DataFrame:
     """df as a compressed Parquet table in the shared folder: as cut_lineage, but columns can be read apart, and it is smaller."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = forget_at_exit(spark, f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,10 @@ import json
 import re
 from collections import defaultdict
 
-from strataloom.llm.copies import collapse, new_ledger, sign
+import pytest
+from pyspark.sql import functions as F
+
+from strataloom.llm.copies import CopyLedger, collapse, new_ledger, sign
 
 
 def norm(t):
@@ -43,6 +46,35 @@ def test_words_read_as_different_fields(spark):
     assert {(r.keep, r.item) for r in ledger.pairs().collect()} == {("1", "2"), ("3", "4"), ("3", "5")}
 
 
+def test_ledger_goes_on_in_another_session(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    CopyLedger.open(spark, folder, 3).absorb(sign(frame(spark, SAME[:9]), "docs", "k", "t"))
+    later = spark.newSession()
+    CopyLedger.open(later, folder).absorb(sign(frame(later, SAME[9:]), "docs", "k", "t"))
+    stale = CopyLedger.open(later, folder)
+    CopyLedger.open(later, folder).absorb(sign(frame(later, SAME), "docs", "k", "t"))
+    with pytest.raises(RuntimeError):  # it was opened before the last batch
+        stale.absorb(sign(frame(later, SAME), "docs", "k", "t"))
+    last = CopyLedger.open(spark, folder)
+    assert last.buckets == 3 and last.step == 3 and {(r.keep, r.item) for r in last.pairs().collect()} == WANT
+    assert [p.name for p in (tmp_path / "ledger").glob("manifest-*")] == ["manifest-3.json"]
+    held = {p.rsplit("/", 1)[0].rsplit("/", 1)[1] for ps in last.paths["counts"].values() for p in ps}
+    assert {p.parent.name for p in (tmp_path / "ledger").glob("counts-*/b=*") if any(p.glob("*.parquet"))} >= held
+
+
+def test_many_field_orders_of_one_content(spark):
+    """A class of 100,000 word keys meets its one row by a broadcast, not in one task."""
+    n = 100_000
+    names = [f"f{i}" for i in range(8)]
+    order = F.concat(*(F.concat(F.element_at(F.array(*map(F.lit, names)), ((F.col("id") / 8**i).cast("int") % 8 + 1).cast("int")), F.lit(": v\n")) for i in range(6)), F.concat_ws("\n", *(F.lit(f"{x}: v") for x in names)))
+    df = spark.range(n).select(F.format_string("%06d", "id").alias("k"), order.alias("t"))
+    ledger = collapse([sign(df, "docs", "k", "t")], batches=1)
+    assert ledger.entries().collect()[0].copies == n and ledger._link_classes().select("class_key").distinct().count() == 1
+    pairs = ledger.pairs()
+    assert pairs.agg(F.count("*"), F.min("keep"), F.max("keep")).first() == (n - 1, "000000", "000000")
+    assert max(r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()) < 0.6 * n
+
+
 def test_hot_group_and_empty(spark):
     rows = [(f"{i:05d}", "Same, text" if i % 2 else "same text") for i in range(3000)] + [(f"z{i}", f"own {i}") for i in range(50)] + [("y1", "OWN 1")]
     ledger = collapse([sign(frame(spark, rows), "docs", "k", "t")], batches=1)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm.neighbours import greedy_search, neighbour_graph, nodes_of, ranked, searched, usable_vectors
-from strataloom.session import cut_lineage
+from strataloom.session import write_shared
 from strataloom.sources.tables import table
 
 K, LEAST_COSINE = 10, 0.90
 
 
 def _parts(spark: SparkSession, folder: str):
-    usable = cut_lineage(usable_vectors(table(spark, folder, "vectors")))
+    usable = write_shared(usable_vectors(table(spark, folder, "vectors")))
     nodes = nodes_of(usable)
     return usable, nodes, neighbour_graph(nodes)
 
@@ -33,8 +33,8 @@ def p3_search(spark: SparkSession, folder: str) -> DataFrame:
     """Greedy search for every vector whose number is divisible by 100: its ten most similar vectors but itself."""
     usable, nodes, graph = _parts(spark, folder)
     number = F.regexp_extract("vector_id", r"(\d+)\D*$", 1).cast("bigint")
-    asked = usable.filter(number % 100 == 0).dropDuplicates(["vector_id"]).select(F.col("vector_id").alias("query"), "grp", "vec")
-    hits = greedy_search(graph, nodes, asked, K + 1)  # one more, as the query's own vector is a node
+    asked = usable.filter(number % 100 == 0).dropDuplicates(["vector_id"]).select(F.col("vector_id").alias("query"), "grp", "small", "vec")
+    hits = greedy_search(graph, nodes, usable, asked, K + 1)  # one more, as the query's own vector is a node
     return searched(usable, nodes, hits, K).withColumn("cosine", F.round("cosine", 6))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from strataloom.session import cut_lineage, ensure_checkpoint_dir, forget_at_exit, partitions_for, write_shared
 
 KEEP, JOINED, GROUP, BLOCK = 26, 26, 96, 512
-STOP, MOST_ROUNDS = 0.02, 12
+STOP, MOST_ROUNDS = 0.05, 12
 HOME = 13  # bits: nodes of a home are at most 2 ** HOME
 PART_NODES = 5000  # nodes of a partition while there are few
 DEGREE = 48  # links of a node that a search follows, either way, the most similar ones
@@ -365,9 +365,11 @@ def descend(graph: DataFrame, parts: int, keep: int = KEEP, joined: int = JOINED
     """One round of NN-descent: LISTS of the better pairs among neighbours of neighbours."""
     # each node learns the homes of the nodes whose neighbour it is; those of its neighbours it knows
     edges = graph.select("node", F.posexplode(F.slice("nbrs", 1, joined)).alias("i", "nbr"), "fresh")
-    place = F.col("node").bitwiseAND((1 << HOME) - 1).cast("int")
-    inward = edges.select(F.col("nbr").alias("node"), _home("node").alias("home"), F.when(F.element_at("fresh", F.col("i") + 1), -1 - place).otherwise(place).alias("place"))
-    there = inward.repartition(parts, "node").groupBy("node", "home").agg(F.collect_list("place").alias("places"))  # at most the nodes of a home
+    inward = edges.select(F.col("nbr").alias("node"), F.when(F.element_at("fresh", F.col("i") + 1), -1 - F.col("node")).otherwise(F.col("node")).alias("of")).repartition(parts, "node")
+    whose = F.when(F.col("of") < 0, -1 - F.col("of")).otherwise(F.col("of"))
+    place = whose.bitwiseAND((1 << HOME) - 1).cast("int")
+    told = inward.select("node", F.shiftright(whose, HOME).alias("home"), F.when(F.col("of") < 0, -1 - place).otherwise(place).alias("place"))
+    there = told.groupBy("node", "home").agg(F.collect_list("place").alias("places"))  # at most the nodes of a home
     least = F.when(F.size("sims") >= keep, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float")
     own = graph.select("node", "small", least.alias("least"), F.slice("nbrs", 1, joined).alias("nbrs"), F.slice("fresh", 1, joined).alias("fresh"))
     both = own.join(there, "node", "left").select("node", "small", "least", "nbrs", "fresh", "home", "places")

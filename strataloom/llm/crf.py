@@ -21,6 +21,7 @@ class Crf:
         self.labels, self.features = labels, features
         self.index: dict[str, int] = {}
         self.offsets = 2 * REACH + 1
+        self.bias = np.zeros(len(labels))  # added to the labels' scores when decoding
         self.forget()
 
     def forget(self) -> None:
@@ -29,7 +30,7 @@ class Crf:
 
     # training -----------------------------------------------------------------------------------------------------
 
-    def fit(self, sentences: list[list[str]], tags: list[list[int]], epochs: int = 10, batch: int = 96, rate: float = 0.25, decay: float = 1e-5, seed: int = 1) -> Crf:
+    def fit(self, sentences: list[list[str]], tags: list[list[int]], epochs: int = 8, batch: int = 64, rate: float = 0.25, decay: float = 1e-5, seed: int = 1) -> Crf:
         """Maximum likelihood by AdaGrad over shuffled batches; deterministic for a seed."""
         rng = np.random.default_rng(seed)
         numbers: dict[str, int] = {"": 0}
@@ -142,7 +143,7 @@ class Crf:
         lengths = np.array([len(r) for r in rows])
         for i, r in enumerate(rows):
             ids[i, REACH : REACH + len(r)] = r
-        emission = sum(self._stacked[ids[:, o : o + width], o] for o in range(self.offsets))
+        emission = sum(self._stacked[ids[:, o : o + width], o] for o in range(self.offsets)) + self.bias
         score = emission[:, 0] + self.first
         back = np.zeros((b, width, len(self.labels)), np.int16)
         for t in range(1, width):

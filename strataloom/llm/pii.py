@@ -1,13 +1,14 @@
 """Personal information in free text: found by a linear-chain CRF, replaced by typed placeholders.
 
-1. Signs that no item lacks (an @ or a spelled-out one, six digits close together, four digits among letters, a word of
-   name affixes, a title or a street word) are looked up in the whole text by an automaton and two expressions; the text
-   around them is a window.
+1. Shapes that every item has one of (an @ or a spelled-out one, seven digits close together, four digits among letters,
+   two capitalised words in a row, a number beside a capitalised word, and for text in small letters a word of name
+   affixes, a title or a street word) are looked up in the whole text; the text around them is a window.
 2. Windows are cut into tokens, and the field (crf.py), trained on the labelled table of pii_labels.py, labels them by
    Viterbi in numpy batches. Equal windows are decoded once per worker.
-3. A decoded span counts if it has what its type cannot do without (digits, an address sign, two parts of a name).
+3. The field decides. Spans are only trimmed (marks and articles at their ends, words around a number) and are dropped if
+   nothing of the type is left: no digits, no address sign, a single word for a name.
 
-The name-part table gives the affixes from which names are made, so a name that the table lacks is still seen.
+The name-part table gives the affixes from which its names are made; other names are seen by their shape and surroundings.
 
 Defined cases: null and empty texts contain nothing and stay as they are; placeholders in brackets are no items; an item
 key delivered again counts once in find_types; overlapping windows are one; extra columns are not read; empty tables give
@@ -32,22 +33,25 @@ from strataloom.llm.crf import Crf
 from strataloom.llm.pii_labels import LABELLED_ROWS, LABELS, TITLES, TYPES, labelled_rows
 
 MOST_PARTS = 100_000
+NAME_COST = 1.0  # taken off the score of a name's first token, so that a doubtful one is none
 LEFT, RIGHT = 64, 72  # characters of a window on either side of a sign
 SENTENCE, OVERLAP = 240, 48  # tokens decoded together, and shared with the next stretch
 WINDOW, SHARED = 8000, 400  # characters of the longest window, and what neighbours share of a longer stretch
 CACHED_WINDOWS, CACHED_CHARS = 50_000, 20_000_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-NEAR_DIGITS = re.compile(r"[0-9](?:[\s().\-/–‑+]{0,2}[0-9]){5,}")
+NEAR_DIGITS = re.compile(r"[0-9](?:[\s().\-/–‑+]{0,2}[0-9]){6,}")
+_UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪİĶŁŃŇŌŐŘŚŞŠŤŪŮŰŹŻŽ"
+#: Two capitalised words in a row, initials and small words between them allowed; a number before or after such a word.
+CAPITALS = re.compile(rf"(?<![^\W_])[{_UPPER}][^\W\d_'’]*(?:['’-][^\W\d_]+)*[.,]?[\s*_]{{1,3}}(?:(?:[a-z]{{2,3}}|[{_UPPER}]\.)[\s*_]{{1,3}}){{0,2}}[{_UPPER}][^\W\d_]")
+NUMBERED = re.compile(rf"(?<![\w.,-])[0-9]{{1,5}}[a-zA-Z]?,?[\s*_]{{1,3}}(?:[a-z]{{2,9}}[\s*_]{{1,3}}){{0,2}}[{_UPPER}][^\W\d_]|[{_UPPER}][^\W\d_]+\.?,?[\s*_]{{1,3}}(?:n\.º\s)?[0-9]{{1,5}}[a-zA-Z]?(?![\w-])")
 MIXED = re.compile(r"(?<![^\W_])(?=(?:[a-z]*[0-9]){4})(?=[0-9]*[a-z])[a-z0-9]{8,18}(?![^\W_])")  # letters among digits, as ID_VALUE has it
 STAMP = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
-STREETS = ("street", "st", "road", "rd", "lane", "court", "avenue", "ave", "drive", "square", "boulevard", "rue", "calle", "avenida", "plaza", "piazza", "rua", "straße", "strasse", "platz", "allee", "weg", "via", "c", "flat", "apt")
+STREETS = ("street", "st", "road", "rd", "lane", "court", "avenue", "ave", "drive", "square", "boulevard", "rue", "calle", "avenida", "plaza", "piazza", "paseo", "viale", "corso", "largo", "travessa", "rua", "straße", "strasse", "platz", "allee", "weg", "via", "way", "close", "place", "terrace", "c", "flat", "apt", "suite")
 SIGN_STREETS = ("street", "road", " rd", "lane", "court", "avenue", "ave.", "boulevard", "rue ", "calle ", "c/ ", "avenida", "plaza", "piazza", "rua ", "straße", "strasse", "square", "drive")
 SIGN_MAIL = ("@", "(at)", "[at]", "{at}", " dot ", "(dot)", "[dot]", "( at )", "[ at ]")
 _AT = r"(?:\s?@\s?|\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+)"
 _DOT = r"(?:\.|\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+|\s\.\s(?=[\w-]+(?:\s|$)))"
 MAIL = re.compile(rf"[\w+%'-]+(?:{_DOT}[\w+%'-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
-ID_VALUE = re.compile(r"(?<!\w)(?:[A-Z]{0,3}[ -]?(?:\d[\s.\-/]{0,2}){5,14}\d[\s-]?[A-Z]?|(?=(?:[A-Z]*\d){4})[A-Z0-9]{8,18})(?!\w)", re.I)
-STREET = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, STREETS))})(?![^\W\d_]|-?\d)|(?:straße|strasse|str|platz|allee|weg|gasse)(?![^\W\d_])", re.I)
 ARTICLE = re.compile(r"(?:the|a|an|der|die|das|le|la|les|el|los|il|lo|o|os)\s+", re.I)
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
@@ -108,12 +112,10 @@ class Features:
                     out += [f"{kind}+" for cut in (1, 2, 3, 4, 5, 6) if low[:-cut] in known][:1]
             if low in self.titles:
                 out.append("title")
-            if low in self.streets or low.endswith(("straße", "strasse", "str", "platz", "weg", "allee", "gasse")):
+            if low in self.streets or low.endswith(("straße", "strasse", "str", "platz", "weg", "allee", "gasse", "straat", "laan", "gracht")):
                 out.append("street")
             if len(low) == 1:
                 out.append("one")
-            if low.startswith(("example", "clinic", "mail", "lab", "uni", "vector")):
-                out.append("host")
         elif word.isdigit():
             out.append("digits")
             if word[0] == "0":
@@ -157,7 +159,12 @@ def training_table(parts: NameParts, rows: int = LABELLED_ROWS, seed: int = 7) -
 @lru_cache(maxsize=4)
 def _trained(rows: tuple, labelled: int) -> Crf:
     parts = NameParts(list(rows))
-    return Crf(LABELS, Features(parts)).fit(*training_table(parts, labelled))
+    return _priced(Crf(LABELS, Features(parts)).fit(*training_table(parts, labelled)))
+
+
+def _priced(crf: Crf) -> Crf:
+    crf.bias = np.where(np.array(LABELS) == "B-name", -NAME_COST, 0.0)
+    return crf
 
 
 def read_parts(name_parts: DataFrame) -> tuple:
@@ -194,7 +201,8 @@ class Finder:
         if len(low) != len(text):  # letters that become two in lower case
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         at = [(m.start(), m.end()) for m in NEAR_DIGITS.finditer(low) if not (STAMP.match(m.group()) and low[m.start() + 10 : m.start() + 11] == "t")]
-        at += (m.span() for m in MIXED.finditer(low))
+        for shape, where in ((MIXED, low), (CAPITALS, text), (NUMBERED, text)):
+            at += (m.span() for m in shape.finditer(where))
         for end, (size, alone) in self.signs.iter(low):
             start = end + 1 - size
             if not (alone and start and low[start - 1].isalnum()):
@@ -283,37 +291,34 @@ class Finder:
             b -= 1
         while a < b and w[a] in ",;:.!?\"«“*_)]} \n":
             a += 1
-        if kind == "id_number" and a < b < len(w) and w[b].isalnum():  # the last tokens of a number with letters
-            run = next((m for m in MIXED.finditer(w[: b + 19].lower(), max(0, b - 18)) if a <= m.start() < b < m.end() <= b + 4), None)
-            b = run.end() if run else b
+        if kind == "id_number" and a < b:  # whole words: the field may label the letters of a number apart from its digits
+            while a and w[a - 1].isalnum() and b - a < 40:
+                a -= 1
+            while b < len(w) and w[b].isalnum() and b - a < 40:
+                b += 1
         text = w[a:b]
         digits = sum(map(str.isdigit, text))
         if kind == "email":
-            m = MAIL.search(text)
-            return (a + m.start(), a + m.end(), kind) if m else None
+            m = MAIL.search(text)  # else what stands around it, if the field saw a part only
+            found = [(a + m.start(), a + m.end())] if m else [x.span() for x in MAIL.finditer(w, max(0, a - LEFT), min(len(w), b + RIGHT)) if x.start() < b and a < x.end()]
+            return (*found[0], kind) if found else None
         if kind != "name" and (a and w[a - 1].isalnum() or b < len(w) and w[b].isalnum()):
-            return None
-        if kind in ("phone", "id_number") and (a > 1 and w[a - 1] in "-./" and w[a - 2].isalnum() or b + 1 < len(w) and w[b] in "-/" and w[b + 1].isalnum()):
-            return None  # part of a longer run
+            return None  # part of a word
         if kind == "phone":
             m = re.search(r"[+(]?\d.*\d", text, re.S)  # words beside the number stay
             return (a + m.start(), a + m.end(), kind) if m and 7 <= digits <= 19 else None
         if kind == "id_number":
-            return (a, b, kind) if ID_VALUE.search(text) else None
+            return (a, b, kind) if digits >= 4 else None
         if kind == "address":
-            return (a, b, kind) if digits and STREET.search(text) else None
-        titles = self.crf.features.titles
+            return (a, b, kind) if digits and any(map(str.isalpha, text)) else None
         last = 0
         for m in re.finditer(r"([^\W\d_]+)[.!?:;]\s+", text):  # a sentence's end before the name
-            if len(m.group(1)) > 2 and m.group(1).lower() not in titles:
+            if len(m.group(1)) > 2 and m.group(1).lower() not in self.crf.features.titles:
                 last = m.end()
         a, text = a + last, text[last:]
-        if m := ARTICLE.match(text):  # things named after people
+        if m := ARTICLE.match(text):
             a, text = a + m.end(), text[m.end() :]
-        words = re.findall(r"[^\W\d_]+", text)
-        known = any(x.lower() in k for x in words for k in self.parts.known.values())
-        titled = len(words) > 1 and words[0].lower() in titles and words[1][0].isupper()
-        return (a, b, kind) if len(words) > 1 and (known or titled) else None
+        return (a, b, kind) if len(re.findall(r"[^\W\d_]+", text)) > 1 else None
 
 
 _FINDERS: dict[str, Finder] = {}
@@ -323,7 +328,7 @@ def _worker_finder(shared) -> Finder:
     digest, rows, index, weights, moves, first = shared.value
     if digest not in _FINDERS:
         parts = NameParts(list(rows))
-        crf = Crf(LABELS, Features(parts))
+        crf = _priced(Crf(LABELS, Features(parts)))
         crf.index, crf.weights, crf.moves, crf.first = index, weights, moves, first
         _FINDERS.clear()
         _FINDERS[digest] = Finder(crf, parts)

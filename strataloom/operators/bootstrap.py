@@ -11,8 +11,9 @@ from strataloom.operators.catalog import Catalog, missing_rows
 from strataloom.operators.chunking import ChunkStrategy, chunk_documents
 from strataloom.operators.contract import DocumentContract, split
 from strataloom.operators.migration import embed_chunks
+from strataloom.operators.numbering import numbered
 from strataloom.operators.sanitize import sanitize_documents
-from strataloom.session import cut_lineage
+from strataloom.session import cut_lineage, write_shared
 
 
 @dataclass
@@ -32,27 +33,20 @@ def vector_rows(chunks: DataFrame, model_name: str, model_version: str, collecti
     """Catalog rows of vectors, numbered vec_0001 onwards in the order of document and chunk.
 
     Numbers come from sorted partitions and their offsets, so no task sees all rows."""
-    ordered = cut_lineage(chunks.select("doc_id", "chunk_index", "chunk_id", "pii_masked_flag").repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index", "chunk_id").withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    counts = {r.part: r["count"] for r in ordered.groupBy(part.alias("part")).count().collect()}  # one row a partition
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    spark = chunks.sparkSession
-    table = spark.createDataFrame(offsets or [(0, 0)], "part bigint, before bigint")
-    number = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1
+    rows = numbered(chunks.select("doc_id", "chunk_index", "chunk_id", "pii_masked_flag"), ["doc_id", "chunk_index", "chunk_id"])
+    number = F.col("row_no")
     vec = F.concat(F.lit("vec_"), F.when(number < 10000, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string")))
-    return ordered.withColumn("part", part).join(F.broadcast(table), "part").select(
+    return rows.select(
         vec.alias("vector_id"), "chunk_id", F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"), F.lit(collection).alias("collection_name"), F.lit(dimensions).alias("dimension"), "pii_masked_flag")
 
 
 def run(records: DataFrame, catalog: Catalog, strategy: ChunkStrategy, model_name: str, model_version: str, collection: str, embed, dimensions: int, contract: DocumentContract = DocumentContract()) -> tuple[Report, DataFrame]:
-    """Validates, sanitizes, chunks, fills the catalog in one transaction and embeds; only rows the catalog lacks are added."""
+    """Validates, sanitizes, chunks, embeds and then fills the catalog in one transaction; only rows the catalog lacks are added."""
     valid, invalid = split(records, contract)
     documents = cut_lineage(sanitize_documents(valid))
     chunks = cut_lineage(chunk_documents(documents.withColumn("doc_version", F.lit(1)), strategy))
     spark = records.sparkSession
+    vectors = write_shared(embed_chunks(chunks, embed, dimensions))  # before any row says that they are there
     with catalog.transaction():
         if missing_rows(spark.createDataFrame([(strategy.strategy_name, strategy.version)], "strategy_name string, strategy_version string"), catalog.table("chunk_strategies"), ["strategy_name", "strategy_version"]).count():
             catalog.insert("chunk_strategies", spark.createDataFrame([(strategy.strategy_name, strategy.version, strategy.splitter_type, strategy.chunk_size_tokens, strategy.chunk_overlap_tokens, strategy.tokenizer)], "strategy_name string, strategy_version string, splitter_type string, chunk_size_tokens int, chunk_overlap_tokens int, tokenizer_name string"))
@@ -63,5 +57,4 @@ def run(records: DataFrame, catalog: Catalog, strategy: ChunkStrategy, model_nam
         own = catalog.table("vectors").filter(F.col("collection_name") == collection)
         new = missing_rows(vector_rows(chunks, model_name, model_version, collection, dimensions), own, ["chunk_id"])
         added = catalog.insert("vectors", new)
-    vectors = embed_chunks(chunks, embed, dimensions)
     return Report(documents.count(), invalid.count(), chunks.count(), added), vectors

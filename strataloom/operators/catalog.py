@@ -1,24 +1,22 @@
 """The relational catalog on Parquet: validated inserts, snapshots with an atomic pointer, constraint queries.
 
-A table is a list of Parquet folders in a pointer file. An insert adds a folder and reads of the rest only the keys; a
-change of rows writes a new snapshot. Writers stage every changed table first and then replace the pointer in one
-rename, so several tables change together or not at all.
+A table is a list of Parquet folders in a state file on the shared store. An insert adds a folder and reads of the rest
+only the keys; a change of rows writes a new snapshot. Writers stage every changed table first and then replace the state
+in one rename that fails if another writer was faster, so several tables change together or not at all.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
 import uuid
 from collections.abc import Iterable
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.schemas import TABLES, Table
+from strataloom.sources.pointer import Pointer
 
 
 def latest(df: DataFrame, keys: list[str], arrival: str = "loaded_at") -> DataFrame:
@@ -90,39 +88,27 @@ def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class Catalog:
-    """Tables under a folder. Inserts are validated; `transaction` makes several changes visible at once."""
+    """Tables, aliases and the routing policy under a folder. Inserts are validated; `transaction` makes several changes
+    visible at once. A writer whose state another one replaced meanwhile gets a Conflict."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
-        self._staged: dict[str, list[str]] | None = None
+        self._pointer = Pointer(spark, folder)
+        self._staged: dict | None = None
 
-    @property
-    def _pointer(self) -> str:
-        return os.path.join(self.folder, "current.json")
+    def _state(self) -> dict:
+        return self._staged if self._staged is not None else self._pointer.read()[1]
 
-    def _current(self) -> dict[str, list[str]]:
+    def _change(self, part: str, name: str, value) -> None:
         if self._staged is not None:
-            return self._staged
-        if os.path.exists(self._pointer):
-            with open(self._pointer, encoding="utf-8") as f:
-                return json.load(f)
-        return {}
-
-    def _publish(self, paths: dict[str, list[str]]) -> None:
-        handle, name = tempfile.mkstemp(dir=self.folder)
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(paths, f)
-        os.replace(name, self._pointer)
-
-    def _point(self, name: str, paths: list[str]) -> None:
-        if self._staged is not None:
-            self._staged[name] = paths
-        else:
-            self._publish(dict(self._current()) | {name: paths})
+            self._staged.setdefault(part, {})[name] = value
+            return
+        number, state = self._pointer.read()
+        state.setdefault(part, {})[name] = value
+        self._pointer.write(number, state)
 
     def _write(self, name: str, df: DataFrame) -> str:
-        path = os.path.join(self.folder, name, uuid.uuid4().hex)
+        path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
         with_defaults(df, TABLES[name]).write.parquet(path)
         return path
 
@@ -131,17 +117,45 @@ class Catalog:
         """Changes inside become visible together at the end, or not at all if an error leaves the block."""
         if self._staged is not None:
             raise RuntimeError("transactions do not nest")
-        self._staged = dict(self._current())
+        number, self._staged = self._pointer.read()
         try:
             yield self
-            self._publish(self._staged)
+            self._pointer.write(number, self._staged)
         finally:
             self._staged = None
 
+    def alias(self, name: str) -> str | None:
+        """The collection that an alias stands for."""
+        return self._state().get("aliases", {}).get(name)
+
+    def set_alias(self, name: str, collection: str) -> str | None:
+        """Points an alias to a collection in one step; the collection it stood for before."""
+        before = self.alias(name)
+        self._change("aliases", name, collection)
+        return before
+
+    def policy(self) -> dict:
+        return dict(self._state().get("policy", {}))
+
+    def set_policy(self, **changes) -> dict:
+        """Merges the changes that are not null into the routing policy."""
+        with nullcontext() if self._staged is not None else self.transaction():
+            for name, value in changes.items():
+                if value is not None:
+                    self._change("policy", name, value)
+            return self.policy()
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows to a log beside the tables (lineage events, vectors of a store), which has no keys to check."""
+        rows.write.mode("append").parquet(f"{self.folder}/logs/{name}")
+
+    def log(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/logs/{name}")
+
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise KeyError(f"unknown table {name}")
-        paths = self._current().get(name)
+        paths = self._state().get("tables", {}).get(name)
         schema = TABLES[name].ddl
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -152,7 +166,7 @@ class Catalog:
         """Writes a snapshot and points the table to it."""
         if name not in TABLES:
             raise KeyError(f"unknown table {name}")
-        self._point(name, [self._write(name, df)])
+        self._change("tables", name, [self._write(name, df)])
 
     def insert(self, name: str, rows: DataFrame) -> int:
         """Appends rows; refuses null or repeated keys, broken checks and references that point nowhere. The number of rows."""
@@ -169,7 +183,7 @@ class Catalog:
             if broken:
                 raise ValueError(f"{name}: {', '.join(broken)}")
             if n:
-                self._point(name, [*self._current().get(name, []), self._write(name, new)])
+                self._change("tables", name, [*self._state().get("tables", {}).get(name, []), self._write(name, new)])
             return n
         finally:
             new.unpersist()

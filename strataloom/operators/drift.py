@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.numbering import exact_percentiles
+from strataloom.session import cut_lineage
+
 MOST_SAMPLED = 20_000
 
 
@@ -52,11 +55,14 @@ def pair_cosines(sample: DataFrame, column: str) -> DataFrame:
     return spark.range(len(unit)).mapInPandas(run, "cosine double")
 
 
-def distribution(values: DataFrame, column: str) -> DataFrame:
-    """One row: mean, median, 5th and 95th percentile, population deviation; of nothing, that of a single 1."""
-    v = F.col(column)
-    stats = values.agg(F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.05)).alias("p05"), F.percentile(v, F.lit(0.95)).alias("p95"), F.stddev_pop(v).alias("std"))
-    return stats.select(*(F.coalesce(c, F.lit(1.0 if c != "std" else 0.0)).alias(c) for c in stats.columns))
+def distribution(values: DataFrame, column: str, count: str | None = None) -> DataFrame:
+    """One row: mean, median, 5th and 95th percentile, population deviation and, if named, the count; of nothing, that of a single 1."""
+    held = cut_lineage(values.select(F.col(column).alias("v")))
+    stats = held.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("v").alias("n"))
+    shares = {"median": 0.5, "p05": 0.05, "p95": 0.95}
+    at = exact_percentiles(held, "v", [], list(shares.values())).agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in shares.items()))
+    row = stats.crossJoin(at)  # one row each
+    return row.select(*(F.coalesce(c, F.lit(1.0 if c != "std" else 0.0)).alias(c) for c in ("mean", "median", "p05", "p95", "std")), *([F.col("n").alias(count)] if count else []))
 
 
 def neighbour_jaccard(sample: DataFrame, k: int = 10) -> DataFrame:

@@ -6,9 +6,13 @@ is gained repeatedly, as its chunks are, so NDCG can exceed 1; dedupe keeps its
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.numbering import exact_percentiles
+
 
 def query_metrics(qrels: DataFrame, rankings: DataFrame, dedupe: bool = False) -> DataFrame:
     """(query_id, relevant, recall_at_5, recall_at_10, ndcg_at_10, reciprocal_rank)."""
@@ -36,8 +40,13 @@ def macro(metrics: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Mean and exact interpolated percentiles."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *(F.percentile(value, F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)))
+    """Mean and exact interpolated percentiles, by ranks of counted values (numbering.exact_percentiles)."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    shares = {p: p / 100 for p in (50, 95, 99)}
+    at = exact_percentiles(df, value, by, list(shares.values()))
+    wide = at.groupBy(*by).agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"p{p}") for p, s in shares.items()))
+    same = [plain[b].eqNullSafe(wide[b]) for b in by]
+    return plain.join(wide, same, "left").select(*(plain[b] for b in by), "n", "mean", *(f"p{p}" for p in shares))
 
 
 def gate(baseline: DataFrame, candidate: DataFrame, recall_tolerance: float = 0.02, ndcg_tolerance: float = 0.0) -> DataFrame:
@@ -47,3 +56,23 @@ def gate(baseline: DataFrame, candidate: DataFrame, recall_tolerance: float = 0.
     both = baseline.withColumn("side", F.lit(-1)).unionByName(candidate.withColumn("side", F.lit(1)))
     out = both.agg(*(F.sum(F.col("side") * F.col(c)).alias(d) for c, d in (("recall_at_10", "recall_delta"), ("ndcg_at_10", "ndcg_delta"), ("mrr", "mrr_delta"))))
     return out.withColumn("passed", (F.col("recall_delta") >= -recall_tolerance) & (F.col("ndcg_delta") >= -ndcg_tolerance))
+
+
+def error_rate(attempts: DataFrame) -> DataFrame:
+    """(error_rate) of queries (query_id, error): the share of those with an error; 0 of none."""
+    failed = F.count_if(F.col("error").isNotNull())
+    return attempts.agg(F.when(F.count("*") > 0, failed / F.count("*")).otherwise(0.0).alias("error_rate"))
+
+
+def gated(deltas: DataFrame, errors: DataFrame) -> DataFrame:
+    """gate() with the candidate's error_rate, which has to be 0 to pass."""
+    return deltas.crossJoin(errors).withColumn("passed", F.col("passed") & (F.col("error_rate") == 0))  # one row each
+
+
+def run_rows(macros: dict[str, DataFrame], model: tuple[str, str], dataset: str, rates: dict[str, DataFrame], passed: bool) -> DataFrame:
+    """Rows of the run table, one for each side of a gate."""
+    def one(side: str) -> DataFrame:
+        own = macros[side].crossJoin(rates[side])  # one row each
+        return own.select(F.expr("uuid()").alias("run_id"), F.lit(model[0]).alias("model_name"), F.lit(model[1]).alias("model_version"), F.lit(f"{dataset}:{side}").alias("dataset_name"), "recall_at_5", "recall_at_10", "ndcg_at_10", "mrr", "error_rate", F.lit("passed" if passed else "failed").alias("status"))
+
+    return reduce(DataFrame.unionByName, map(one, macros))

@@ -6,14 +6,19 @@ needs no model file."""
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.scalars import batches, planned_tokens
+from strataloom.functions.scalars import batches, fingerprint, planned_tokens, row_digest
+from strataloom.operators.lineage_events import batch_events
+from strataloom.operators.numbering import batch_number, numbered
+from strataloom.session import write_shared
 
 
 def source_rows(vectors: DataFrame, chunks: DataFrame, model_name: str, model_version: str, strategy_name: str | None = None) -> DataFrame:
@@ -79,6 +84,11 @@ def shadow_vectors(embedded: DataFrame, migration_id: str, model_name: str, mode
         F.lit(dimensions).alias("dimension"), F.lit(metric).alias("distance_metric"), F.lit(False).alias("active"), F.lit(True).alias("pii_masked_flag"))
 
 
+def point_payload() -> Column:
+    """The payload of a point in the vector store, out of the columns of a vector row joined with its chunk."""
+    return F.struct("chunk_id", "doc_id", "chunk_index", "model_name", "model_version", "strategy_name")
+
+
 def progress(ledger: DataFrame, per: str = "migration_id") -> DataFrame:
     """Running totals over a batch ledger (migration, batch_no, rows, errors)."""
     w = Window.partitionBy(per).orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -127,15 +137,95 @@ def fault_ledger(batches_: DataFrame, key: str, fail_rate: float) -> DataFrame:
     return batches_.withColumn("fault", fault(F.col(key), fail_rate))
 
 
-def apply(catalog, source: tuple[str, str], target: tuple[str, str], collection: str, migration: str, embed: Callable[[list[str]], np.ndarray], dimensions: int, strategy_name: str | None = None, batch_size: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Embeds what a source model's active vectors need in a target collection: (vectors, progress).
+@dataclass
+class Applied:
+    """What a run did: vectors of this run, its batch ledger with running totals, batches that were given up."""
+
+    vectors: DataFrame
+    progress: DataFrame
+    failed_batches: int
+
+
+def due_batches(chunks: DataFrame, source: DataFrame, target_vectors: DataFrame, collection: str, batch_size: int = 64) -> DataFrame:
+    """due_chunks() in the order of their ids with batch_no from 0, batch_size rows each but the last."""
+    due = numbered(due_chunks(chunks, source, target_vectors, collection), ["chunk_id"])
+    return due.withColumn("batch_no", batch_number(F.col("row_no"), batch_size)).drop("row_no")
+
+
+def embed_batches(due: DataFrame, embed: Callable[[list[str]], np.ndarray], dimensions: int, attempts: int = 4, fault: Callable[[int, int], Exception | None] = lambda batch, attempt: None, base_wait: float = 0.0) -> DataFrame:
+    """(chunk_id, batch_no, vector, failures, error) of due_batches(): each batch is embedded by itself and tried again after
+    a fault, with waits that double; a batch that is given up has null vectors and its error."""
+    def one(rows: pd.DataFrame) -> pd.DataFrame:  # at most batch_size rows
+        number = int(rows["batch_no"].iloc[0])
+        texts = [t or "" for t in rows["chunk_text"]]
+        made: list = []
+        failed = 0
+
+        def batch() -> int:
+            vectors = np.asarray(embed(texts), np.float32)
+            if vectors.shape != (len(texts), dimensions):
+                raise TypeError(f"embedder gave {vectors.shape} for {len(texts)} texts of {dimensions} dimensions")
+            made[:] = list(vectors)
+            return len(made)
+
+        def wait(attempt: int) -> None:
+            time.sleep(base_wait * 2**attempt * (0.5 + np.random.default_rng([number, attempt]).random()))
+
+        error = None
+        try:
+            _, failed = with_retries(batch, attempts, attempts, lambda attempt: fault(number, attempt), wait)
+        except RuntimeError as gave_up:
+            failed, error, made[:] = attempts, f"{gave_up}: {gave_up.__cause__}", [None] * len(texts)
+        return pd.DataFrame({"chunk_id": rows["chunk_id"], "batch_no": number, "vector": made, "failures": failed, "error": error})
+
+    return due.select("chunk_id", "chunk_text", "batch_no").groupBy("batch_no").applyInPandas(one, "chunk_id string, batch_no bigint, vector array<float>, failures int, error string")
+
+
+def batch_ledger(embedded: DataFrame, migration: str) -> DataFrame:
+    """(migration_id, batch_no, rows, errors): rows embedded and failed attempts of each batch."""
+    own = embedded.groupBy("batch_no").agg(F.count("vector").alias("rows"), F.max("failures").cast("bigint").alias("errors"))
+    return own.select(F.lit(migration).alias("migration_id"), "batch_no", "rows", "errors")
+
+
+def apply(catalog, source: tuple[str, str], target: tuple[str, str], collection: str, migration: str, embed: Callable[[list[str]], np.ndarray], dimensions: int, strategy_name: str | None = None, batch_size: int = 64, attempts: int = 4, fault: Callable[[int, int], Exception | None] = lambda batch, attempt: None) -> Applied:
+    """Embeds what a source model's active vectors need in a target collection.
 
-    Chunks that the collection holds are left out, so a broken run goes on; the catalog gets inactive rows at once."""
+    Vectors are written first, to the catalog's log `vectors-COLLECTION`; only then do rows of the batches that succeeded
+    enter the vector table, inactive, in one transaction with the lineage events. A batch that is given up leaves no row, so the next
+    run takes it up again, and so does a run after a driver's death in between: vectors without a row are embedded anew
+    and the last ones count (stored_vectors)."""
     chunks = catalog.table("chunks")
     rows = source_rows(catalog.table("vectors"), chunks, *source, strategy_name)
-    due = due_chunks(chunks, rows, catalog.table("vectors"), collection).select("chunk_id", "chunk_text").cache()
-    catalog.insert("vectors", shadow_vectors(due, migration, *target, collection, dimensions))
-    vectors = embed_chunks(due, embed, dimensions)
-    number = F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("chunk_id"), F.lit(64))).orderBy("chunk_id")) - 1) / batch_size)
-    ledger = due.select(number.alias("batch_no"), F.lit(migration).alias("migration_id")).groupBy("migration_id", "batch_no").agg(F.count("*").alias("rows"), F.lit(0).cast("bigint").alias("errors"))
-    return vectors, progress(ledger)
+    due = due_batches(chunks, rows, catalog.table("vectors"), collection, batch_size)
+    embedded = write_shared(embed_batches(due, embed, dimensions, attempts, fault))
+    good = embedded.filter("vector is not null")
+    vectors = good.select("chunk_id", "vector")
+    if not good.isEmpty():
+        catalog.append(f"vectors-{collection}", vectors.withColumns({"migration_id": F.lit(migration), "written_at": F.current_timestamp()}))
+        new = shadow_vectors(good, migration, *target, collection, dimensions)
+        catalog.insert("vectors", new)
+        sizes = chunks.select("chunk_id", "strategy_name", "strategy_version").join(catalog.table("chunk_strategies").select("strategy_name", "strategy_version", "chunk_size_tokens"), ["strategy_name", "strategy_version"], "left")
+        batches_ = good.select("chunk_id", "batch_no").join(sizes, "chunk_id").groupBy("batch_no", "strategy_name", "strategy_version", "chunk_size_tokens").agg(F.count("*").alias("rows"))
+        facet = {"collection_name": F.lit(collection), "model_name": F.lit(target[0]), "model_version": F.lit(target[1]), "dimension": F.lit(dimensions), "distance_metric": F.lit("Cosine")}
+        catalog.append("lineage_events", batch_events(batches_.withColumns(facet), run=migration))
+    failed = embedded.filter("vector is null").select("batch_no").distinct().count()
+    return Applied(vectors, progress(batch_ledger(embedded, migration)), failed)
+
+
+def stored_vectors(catalog, collection: str) -> DataFrame:
+    """(chunk_id, vector) of a collection's log, the last written of each chunk that the vector table has."""
+    held = catalog.table("vectors").filter(F.col("collection_name") == collection).select("chunk_id")
+    last = catalog.log(f"vectors-{collection}").groupBy("chunk_id").agg(F.max_by("vector", "written_at").alias("vector"))
+    return last.join(held, "chunk_id", "left_semi")
+
+
+def fault_run(catalog, *args, **kwargs) -> dict:
+    """apply() under faults, with proof that what it read did not change: fingerprints of chunks and of the source's vectors."""
+    def prints() -> tuple:
+        own = catalog.table("vectors").filter((F.col("model_name") == args[0][0]) & (F.col("model_version") == args[0][1]) & (F.col("collection_name") != args[2]))
+        return tuple(df.select(row_digest([F.col(c) for c in df.columns]).alias("d")).agg(fingerprint(F.col("d"))).first()[0] for df in (catalog.table("chunks"), own))
+
+    before = prints()
+    done = apply(catalog, *args, **kwargs)
+    last = done.progress.agg(F.max("migrated").alias("migrated"), F.max("errors").alias("errors"), F.max("completed_batches").alias("batches")).first()
+    return {"migrated": last.migrated or 0, "failed_attempts": last.errors or 0, "batches": last.batches or 0, "failed_batches": done.failed_batches, "source_unchanged": prints() == before}

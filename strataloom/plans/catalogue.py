@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.plans import domain_queries, parse_queries, vector_queries
+from strataloom.plans import catalog_queries, domain_queries, parse_queries, vector_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (domain_queries, parse_queries, vector_queries):
+for _module in (catalog_queries, domain_queries, parse_queries, vector_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

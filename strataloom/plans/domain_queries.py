@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import scalars as S
 from strataloom.operators import catalog as C
 from strataloom.operators import chunking, contract, lineage, migration
+from strataloom.operators.numbering import batch_number, numbered
 from strataloom.schemas import TABLES
 from strataloom.sources.tables import table
 
@@ -318,12 +319,19 @@ def source_chunks_semi(spark: SparkSession, folder: str) -> DataFrame:
     SELECT collection_name, batch_no, sum(rows) OVER w::BIGINT AS migrated, sum(errors) OVER w::BIGINT AS errors, count(*) OVER w AS completed_batches FROM l WINDOW w AS (PARTITION BY collection_name ORDER BY batch_no ROWS UNBOUNDED PRECEDING)""")
 def migration_progress(spark: SparkSession, folder: str) -> DataFrame:
     """Running totals over batches of 64 in each collection, inactive vectors standing for errors."""
-    v = _vectors(spark, folder)
-    number = F.row_number().over(Window.partitionBy("collection_name").orderBy("vector_id")) - 1
-    ledger = v.select("collection_name", "active", F.floor(number / 64).alias("batch_no")).groupBy("collection_name", "batch_no").agg(F.count("*").alias("rows"), F.count_if(~F.col("active")).alias("errors"))
+    v = numbered(once(spark, folder, "vectors", ["collection_name", "active"]), ["vector_id"], ["collection_name"])
+    ledger = v.select("collection_name", "active", batch_number(F.col("row_no"), 64).alias("batch_no")).groupBy("collection_name", "batch_no").agg(F.count("*").alias("rows"), F.count_if(~F.col("active")).alias("errors"))
     return migration.progress(ledger, "collection_name")
 
 
+@query(f"""WITH s AS (SELECT chunk_id FROM {CHUNKS} SEMI JOIN {_SOURCE} s USING (chunk_id) ANTI JOIN (SELECT chunk_id FROM vectors WHERE collection_name = 'scifact_v2') t USING (chunk_id)),
+    n AS (SELECT chunk_id, (row_number() OVER (ORDER BY chunk_id) - 1) // 64 AS batch_no FROM s) SELECT batch_no, count(*) AS rows, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk FROM n GROUP BY 1""")
+def migration_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The batches of 64 in which a migration embeds what it still has to."""
+    due = migration.due_batches(_chunks(spark, folder), _source(spark, folder), table(spark, folder, "vectors"), "scifact_v2")
+    return due.groupBy("batch_no").agg(F.count("*").alias("rows"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
+
+
 def _flags_sql(off: str, on: str) -> str:
     return f"SELECT collection_name, count(*) FILTER (a) AS active, count(*) FILTER (NOT a) AS inactive FROM (SELECT collection_name, CASE collection_name WHEN '{off}' THEN false WHEN '{on}' THEN true ELSE active END AS a FROM {VECTORS}) GROUP BY 1"
 

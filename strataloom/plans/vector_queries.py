@@ -125,9 +125,8 @@ def eval_macro(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT query_id, list_sort(list(doc_id)) [1] AS first_doc, count(*) AS n FROM {_QRELS} GROUP BY 1")
 def qrels_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """The relevant documents of every query, gathered."""
-    grouped = _qrels(spark, folder).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("d"))
-    return grouped.select("query_id", F.get("d", F.lit(0)).alias("first_doc"), F.size("d").cast("bigint").alias("n"))
+    """The relevant documents of every query: the first and their number, without a list of all."""
+    return _qrels(spark, folder).groupBy("query_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
 @query(f"""WITH b AS (SELECT avg(recall_at_10) AS r, avg(ndcg_at_10) AS n, avg(reciprocal_rank) AS m FROM ({_sql_metrics()})), c AS (SELECT avg(recall_at_10) AS r, avg(ndcg_at_10) AS n, avg(reciprocal_rank) AS m FROM ({_sql_metrics(_HALF)}))
@@ -140,7 +139,7 @@ def quality_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 # drift: the second space is the first half of each vector ------------------------------------------------------------
 
-_SAMPLE = "(SELECT vec_id, embedding::DOUBLE[] AS before, embedding[1:32]::DOUBLE[] AS after FROM embeddings ORDER BY sha256('3:' || vec_id::VARCHAR), vec_id LIMIT 200)"
+_SAMPLE = "(SELECT vec_id, embedding::DOUBLE[] AS before, embedding[1:32]::DOUBLE[] AS after FROM embeddings ORDER BY sha256('3:' || vec_id::VARCHAR), vec_id LIMIT 1000)"
 
 
 def _spaces(spark, folder):
@@ -151,15 +150,15 @@ def _spaces(spark, folder):
     FROM (SELECT round(list_cosine_similarity(a.before, b.before), 9) AS c FROM {_SAMPLE} a JOIN {_SAMPLE} b ON a.vec_id < b.vec_id)""")
 def cosine_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """Cosines of all pairs within a sample of the space."""
-    pairs = drift.pair_cosines(drift.sample_shared(*_spaces(spark, folder), 200, 3), "before").cache()
-    return _rounded(drift.distribution(pairs, "cosine").withColumn("pairs", F.lit(pairs.count()).cast("bigint")), "pairs")
+    pairs = drift.pair_cosines(drift.sample_shared(*_spaces(spark, folder), 1000, 3), "before")
+    return _rounded(drift.distribution(pairs, "cosine", count="pairs"), "pairs")
 
 
 @query(f"""WITH s AS {_SAMPLE}, n AS (SELECT a.vec_id AS item_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.before, b.before), 9) DESC, b.vec_id) AS r1, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.after, b.after), 9) DESC, b.vec_id) AS r2 FROM s a JOIN s b ON a.vec_id <> b.vec_id)
     SELECT item_id, round(count(*) FILTER (r1 <= 10 AND r2 <= 10) / count(*) FILTER (r1 <= 10 OR r2 <= 10), 6) AS jaccard FROM n GROUP BY 1""")
 def knn_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap of each sampled item's ten nearest in both spaces."""
-    return drift.neighbour_jaccard(drift.sample_shared(*_spaces(spark, folder), 200, 3), 10).select("item_id", F.round("jaccard", 6).alias("jaccard"))
+    return drift.neighbour_jaccard(drift.sample_shared(*_spaces(spark, folder), 1000, 3), 10).select("item_id", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("SELECT round(sqrt(sum(m * m)), 6) AS norm FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY i)")
@@ -185,7 +184,7 @@ _SIDES = ", ".join(f"round({t}.{c}, 6) AS cosine_{c}_{n}" for t, n in (("b", "be
         round(j.mean, 6) AS jaccard_mean, round(j.median, 6) AS jaccard_median, round(j.p05, 6) AS jaccard_p05, round(j.p95, 6) AS jaccard_p95, (a.mean >= 0.95 AND a.std <= 0.05) AS collapse, (abs(a.mean - b.mean) >= 0.1 OR abs(ca.norm - cb.norm) >= 0.1 OR j.mean < 0.9) AS shift FROM a, b, ca, cb, j""")
 def drift_report(spark: SparkSession, folder: str) -> DataFrame:
     """The whole report on both spaces."""
-    row = drift.report(*_spaces(spark, folder), n=200, seed=3)
+    row = drift.report(*_spaces(spark, folder), n=1000, seed=3)
     return row.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in row.dtypes))
 
 
@@ -251,14 +250,14 @@ def metrics_exposition(spark: SparkSession, folder: str) -> DataFrame:
 @query(ORACLES["request_rate_1m"])
 def streaming_rate(spark: SparkSession, folder: str) -> DataFrame:
     """The same rates out of a stream over the event files."""
-    from strataloom.session import ensure_checkpoint_dir
+    from strataloom.session import ensure_checkpoint_dir, forget_at_exit
 
     single = os.path.isfile(f"{folder}/events.parquet")
     place = folder if single else f"{folder}/events.parquet"
     source = rates.file_stream(spark, place, "events.parquet" if single else "*.parquet", table(spark, folder, "events").schema)
-    name = f"rates_{uuid.uuid4().hex}"
+    place_out = forget_at_exit(spark, f"{ensure_checkpoint_dir(spark)}/rates-{uuid.uuid4().hex}")
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
-    return _rates(rates.run_once(rates.stream_rate(source, "ts", ["event_type"]), name, f"{ensure_checkpoint_dir(spark)}/{name}"))
+    return _rates(rates.run_once(rates.stream_rate(source, "ts", ["event_type"]), ["window_start", "event_type"], place_out))
 
 
 @query("SELECT event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")

@@ -7,10 +7,12 @@ import os
 import zipfile
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.operators.numbering import numbered
+
 CORPUS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
 DOCUMENT = T.StructType([
     *(T.StructField(c, T.StringType()) for c in ("doc_id", "title", "text")),
@@ -19,27 +21,40 @@ DOCUMENT = T.StructType([
 _BAD = "_corrupt"
 
 
+def unknown_keys(value: Column, schema: T.StructType) -> Column:
+    """The keys of a JSON object that a closed schema lacks, those of nested objects as parent.key; empty for what is no object."""
+    own = F.array_except(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), F.array(*map(F.lit, schema.names)))
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            inner = F.coalesce(F.json_object_keys(F.get_json_object(value, f"$.{f.name}")), F.array().cast("array<string>"))
+            prefix = F.lit(f"{f.name}.")
+            own = F.concat(own, F.transform(F.array_except(inner, F.array(*map(F.lit, f.dataType.names))), lambda n: F.concat(prefix, n)))  # noqa: B023
+    return own
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
     """(file, line_no, record columns, _corrupt): objects of one line each; blank lines are skipped but counted.
 
-    Lines are numbered per file from the byte order of its splits, by a window over the file's lines. _corrupt holds a
-    line that is no JSON object of the schema; strict makes that an error instead."""
+    Lines are numbered per file by the order of its splits and their offsets. _corrupt holds a line that is no JSON object of
+    the schema; strict makes that an error instead. extra has the names of an object's keys that the schema lacks."""
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    numbered = lines.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")))
+    lines = numbered(lines, ["block", "at"], ["file"], "line_no")
     full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    parsed = numbered.filter(F.trim("value") != "").select("file", "line_no", F.from_json("value", full, {"columnNameOfCorruptRecord": _BAD, "mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("r"))
-    return parsed.select("file", "line_no", "r.*")
+    parsed = lines.filter(F.trim("value") != "").select("file", "line_no", F.from_json("value", full, {"columnNameOfCorruptRecord": _BAD, "mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("r"), unknown_keys(F.col("value"), schema).alias("extra"))
+    return parsed.select("file", "line_no", "r.*", "extra")
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
-    """Records with record_number from 1: a .json file of one object or a list, or a .jsonl file."""
+    """Records with record_number from 1 and extra, the keys that the schema lacks: a .json file of one object or a list, or
+    a .jsonl file."""
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema).withColumnRenamed("line_no", "record_number").drop("file")
     if not path.endswith(".json"):
         raise ValueError("records come as .json or .jsonl")
     whole = spark.read.text(path, wholetext=True)
-    as_list = F.from_json(F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]"))), T.ArrayType(schema))
-    return whole.select(F.posexplode(as_list)).select((F.col("pos") + 1).alias("record_number"), "col.*")
+    listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    items = whole.select(F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "value"))  # each object as its JSON text
+    return items.select((F.col("pos") + 1).alias("record_number"), F.from_json("value", schema).alias("r"), unknown_keys(F.col("value"), schema).alias("extra")).select("record_number", "r.*", "extra")
 
 
 def canonical_corpus(df: DataFrame) -> DataFrame:
@@ -49,11 +64,12 @@ def canonical_corpus(df: DataFrame) -> DataFrame:
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, doc_id, score) of a tab-separated file; its header must name the three columns, scores of 0 are dropped."""
+    """(query_id, doc_id, score, place) of a tab-separated file; its header must name the three columns, scores of 0 are
+    dropped; place orders the rows as the file has them."""
     df = spark.read.csv(path, sep="\t", header=True)
     if set(df.columns) != {"query-id", "corpus-id", "score"}:
         raise ValueError(f"unexpected qrels columns {df.columns}")
-    return df.select(F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"), F.col("score").cast("int").alias("score")).filter("score > 0")
+    return df.select(F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"), F.col("score").cast("int").alias("score"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place")).filter("score > 0")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -68,12 +84,17 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def evaluation_catalog(qrels: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, text, relevant_doc_ids), numeric ids first by value; an id of qrels without a query is an error."""
+    """(query_id, text, relevant_doc_ids), numeric ids first by value; an id of qrels without a query is an error. Relevant
+    ids stand in the order of the qrels' place with their repeats, or sorted if there is no place."""
     from strataloom.functions.scalars import numeric_first
 
     if lost := qrels.join(queries, "query_id", "left_anti").select("query_id").distinct().orderBy("query_id").limit(5).collect():
         raise ValueError(f"qrels name unknown queries {[r.query_id for r in lost]}")
-    grouped = qrels.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("relevant_doc_ids"))
+    if "place" in qrels.columns:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda r: r["doc_id"])
+    else:
+        listed = F.array_sort(F.collect_list("doc_id"))
+    grouped = qrels.groupBy("query_id").agg(listed.alias("relevant_doc_ids"))
     return queries.join(grouped, "query_id").select("query_id", "text", "relevant_doc_ids").orderBy(*numeric_first(F.col("query_id")))
 
 

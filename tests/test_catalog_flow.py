@@ -64,7 +64,10 @@ def test_transactions(seeded, spark):
     service = Service(seeded, policy={"active_collection": "scifact_v1", "active_model": "bge-small", "active_version": "2.0.0"})
     service.cutover("scifact_v2", "scifact_v1")
     assert {r.collection_name: r.active for r in seeded.table("vectors").collect()} == {"scifact_v1": True, "scifact_v2": False}
-    service.cutover("scifact_v1", "scifact_v2")
+    with pytest.raises(ValueError):
+        service.cutover("scifact_v1", "nowhere")
+    assert Service(Catalog(spark, seeded.folder)).policy["active_collection"] == "scifact_v1"  # it outlives the service
+    assert service.rollback()["active_collection"] == "scifact_v2" and seeded.alias("active") == "scifact_v2"
     assert service.routing(active_model=None)["active_collection"] == "scifact_v2" and service.routing(active_model="m")["active_model"] == "m"
     assert service.status()["vectors"] == 2 and service.health() == {"status": "ok"}
     service.routing(active_model="bge-small")
@@ -94,9 +97,13 @@ def test_migration_seed(spark, seeded):
 
 def test_apply_goes_on_where_it_broke(spark, seeded):
     embed = migration.hash_embedder(8)
-    vectors, progress = migration.apply(seeded, ("bge-small", "2.0.0"), ("bge-small", "1.0.0"), "next", "mig_2", embed, 8)
-    assert vectors.count() == 1 and progress.first().migrated == 1 and seeded.table("vectors").filter("collection_name = 'next' and not active").count() == 1
-    assert migration.apply(seeded, ("bge-small", "2.0.0"), ("bge-small", "1.0.0"), "next", "mig_3", embed, 8)[0].count() == 0
+    down = migration.apply(seeded, ("bge-small", "2.0.0"), ("bge-small", "1.0.0"), "next", "mig_1", embed, 8, fault=lambda batch, attempt: ConnectionError("down"))
+    assert down.failed_batches == 1 and down.vectors.count() == 0 and seeded.table("vectors").filter("collection_name = 'next'").count() == 0
+    done = migration.apply(seeded, ("bge-small", "2.0.0"), ("bge-small", "1.0.0"), "next", "mig_2", embed, 8, fault=lambda batch, attempt: ConnectionError() if attempt == 0 else None)
+    last = done.progress.first()
+    assert done.vectors.count() == 1 and (last.migrated, last.errors, last.completed_batches) == (1, 1, 1) and migration.stored_vectors(seeded, "next").count() == 1
+    assert sorted(r.event_type for r in seeded.log("lineage_events").collect()) == ["COMPLETE", "START"] and seeded.table("vectors").filter("collection_name = 'next' and not active").count() == 1
+    assert migration.apply(seeded, ("bge-small", "2.0.0"), ("bge-small", "1.0.0"), "next", "mig_3", embed, 8).vectors.count() == 0
     assert migration.find_model(seeded.table("embedding_models"), "bge-small", "2.0.0")["provider"] == "fastembed"
     for args in (("bge-small",), ("none",)):
         with pytest.raises(KeyError):
@@ -107,7 +114,47 @@ def test_apply_goes_on_where_it_broke(spark, seeded):
     search.verify_collection(store, "y", 2)
 
 
-def test_gate_between_collections(spark):
+def test_batches_of_a_migration(spark, seeded):
+    n = 1000
+    rows = spark.range(n).select(F.format_string("d:%04d", "id").alias("chunk_id"), F.lit("doc-1").alias("doc_id"), F.lit(1).alias("doc_version"), F.lit("s").alias("strategy_name"), F.lit("1.0.0").alias("strategy_version"), (F.col("id") + 10).cast("int").alias("chunk_index"), F.col("id").cast("string").alias("chunk_text"), F.lit("h").alias("chunk_hash"))
+    seeded.insert("chunks", rows)
+    seeded.insert("vectors", rows.select(F.concat(F.lit("v"), "chunk_id").alias("vector_id"), "chunk_id", F.lit("bge-small").alias("model_name"), F.lit("2.0.0").alias("model_version"), F.lit("scifact_v2").alias("collection_name"), F.lit(8).alias("dimension")))
+    args = (("bge-small", "2.0.0"), ("bge-small", "1.0.0"), "next", "mig_5", migration.hash_embedder(8), 8)
+    done = migration.fault_run(seeded, *args, fault=lambda batch, attempt: ConnectionError() if batch == 3 or batch % 2 and attempt < 1 else None)
+    assert done == {"migrated": 1001 - 64, "failed_attempts": 4 + 7, "batches": 16, "failed_batches": 1, "source_unchanged": True}
+    rest = migration.apply(seeded, *args)
+    assert [r["rows"] for r in migration.batch_ledger(migration.embed_batches(migration.due_batches(seeded.table("chunks"), seeded.table("chunks"), seeded.table("vectors").limit(0), "x"), args[4], 8), "m").orderBy("batch_no").collect()] == [64] * 15 + [41]
+    assert rest.vectors.count() == 64 and migration.stored_vectors(seeded, "next").count() == 1001 == seeded.table("vectors").filter("collection_name = 'next'").count()
+
+
+def test_two_writers(spark, seeded):
+    from strataloom.sources.pointer import Conflict
+
+    other = Catalog(spark, seeded.folder)
+    with pytest.raises(Conflict):
+        with seeded.transaction():
+            seeded.set_alias("live", "a")
+            other.set_alias("live", "b")
+    assert seeded.alias("live") == "b" and other.set_alias("live", "c") == "b"
+
+
+def test_numbers_and_percentiles_over_partitions(spark):
+    from strataloom.operators.numbering import exact_percentiles, numbered
+
+    rng = np.random.default_rng(1)
+    rows = [(int(g), int(v)) for g, v in zip(rng.integers(0, 3, 400), rng.integers(0, 60, 400))] + [(None, 5), (None, 6)]
+    df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(rows)], "g int, v int, i int")
+    want, seen = {}, {}
+    for g, v, i in sorted([(g, v, i) for i, (g, v) in enumerate(rows)], key=lambda r: (r[0] is not None, r)):
+        seen[g] = seen.get(g, 0) + 1
+        want[i] = seen[g]
+    assert {r.i: r.row_no for r in numbered(df, ["v", "i"], ["g"]).collect()} == want
+    assert sorted(r.row_no for r in numbered(df, ["v", "i"]).collect()) == list(range(1, 403)) and numbered(df.limit(0), ["v"]).count() == 0
+    for r in exact_percentiles(df, "v", ["g"], [0.5, 0.95, 1.0, 0.0]).collect():
+        assert math.isclose(r.value, np.percentile([v for g, v in rows if g == r.g], r.share * 100))
+
+
+def test_gate_between_collections(spark, tmp_path):
     from strataloom.api import quality_gate
 
     store = spark.createDataFrame([("a", "old", [1.0, 0.0]), ("b", "old", [0.0, 1.0]), ("a", "new", [1.0, 0.1]), ("b", "new", [0.9, 1.0])], "item_id string, collection_name string, vector array<double>")
@@ -116,6 +163,11 @@ def test_gate_between_collections(spark):
     assert quality_gate(store, queries, qrels, "old", "new")["passed"]
     swapped = store.withColumn("item_id", F.when(F.col("collection_name") == "old", F.col("item_id")).otherwise(F.translate("item_id", "ab", "ba")))
     assert not quality_gate(swapped, queries, qrels, "old", "new")["passed"]
+    c = Catalog(spark, str(tmp_path / "c"))
+    c.insert("embedding_models", spark.createDataFrame([("m", "1", "p", 2)], "model_name string, model_version string, provider string, dimensions int"))
+    failed = quality_gate(store, queries, qrels, "old", "new", errors=spark.createDataFrame([("q", "timeout")], "query_id string, error string"), catalog=c, model=("m", "1"))
+    assert failed["error_rate"] == 1.0 and not failed["passed"] and quality_gate(store, queries, qrels, "old", "new", catalog=c, model=("m", "1"))["passed"]
+    assert sorted((r.dataset_name, r.status, r.error_rate) for r in c.table("retrieval_eval_runs").collect()) == [("old-new:baseline", "failed", 0.0), ("old-new:baseline", "passed", 0.0), ("old-new:candidate", "failed", 1.0), ("old-new:candidate", "passed", 0.0)]
 
 
 def test_bootstrap_twice(spark, tmp_path):
@@ -194,6 +246,17 @@ def test_service_search(spark, seeded):
     s = Service(seeded, store, embed, {"active_collection": "live", "active_model": "m"})
     hits = s.search("green pear", 2)
     assert hits[0]["id"] == "b" and abs(hits[0]["score"] - 1) < 1e-6 and 'embedding_tokens_total{model_name="m"} 2.0' in s.metrics()
+    both = store.unionByName(store.filter("item_id <> 'b'").withColumn("collection_name", F.lit("next")))
+    s = Service(seeded, both, embed, {"active_collection": "live", "shadow_collection": "next", "shadow_read_enabled": True})
+    assert s.search("green pear", 2)[0]["id"] == "b" and "shadow_reads_total 1.0" in s.metrics() and "shadow_shared_items_total" in s.metrics() and "shadow_latency_delta_seconds_sum" in s.metrics()
+
+    def broken(texts):
+        raise ConnectionError
+
+    s = Service(seeded, both, embed, s.policy, shadow_embed=broken)
+    assert s.search("green pear", 1)[0]["id"] == "b" and "shadow_errors_total 1.0" in s.metrics()
+    seeded.set_alias("active", "next")
+    assert "b" not in [h["id"] for h in s.search("green pear", 2)]
 
 
 def test_facets_and_events(spark):
@@ -211,7 +274,7 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, t string, k string").withColumn("ts", F.to_timestamp("t")).drop("t")
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = rates.stream_rate(rates.file_stream(spark, str(tmp_path / "in"), "*.parquet", df.schema), "ts", ["k"])
-    got = rates.run_once(stream, "stream_test", str(tmp_path / "ck"))
+    got = rates.run_once(stream, ["window_start", "k"], str(tmp_path / "ck"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, telemetry.rate(df, "ts", ["k"]).collect()))
     h = telemetry.histogram(spark.createDataFrame([(0.01,), (0.3,), (99.0,), (None,)], "v double"), F.col("v"), [], telemetry.HTTP_BUCKETS)
     assert {r.le: r.n for r in h.collect()}[0.01] == 1 and {r.le: r.n for r in h.collect()}[float("inf")] == 3
@@ -228,6 +291,8 @@ def test_command_line(spark, seeded, capsys):
     store.write.parquet(seeded.folder + "/store")
     spark.createDataFrame([("q", [0.2, 1.0])], "query_id string, vector array<double>").write.parquet(seeded.folder + "/q")
     spark.createDataFrame([("q", "b")], "query_id string, doc_id string").write.parquet(seeded.folder + "/r")
+    assert main(["--catalog", seeded.folder, "strategies"]) == 0 and capsys.readouterr().out.splitlines()[0].split() == ["name", "active", "stale"]
+    assert main(["--catalog", seeded.folder, "cutover", "scifact_v2", "scifact_v1"]) == 0 and main(["--catalog", seeded.folder, "rollback"]) == 0 and '"active_collection": "scifact_v2"' in capsys.readouterr().out
     gate = ["--catalog", seeded.folder, "gate", *(f"{seeded.folder}/{x}" for x in ("store", "q", "r")), "old"]
     assert main([*gate, "old"]) == 0 and main([*gate, "none"]) == 1
 

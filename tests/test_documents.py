@@ -1,3 +1,5 @@
+import json
+import ipaddress
 import re
 
 import pytest
@@ -54,10 +56,18 @@ def test_redact(text, counts):
     assert out.count("[REDACTED_") == sum(counts.values()) and (counts or out == text)
 
 
+def usable(address):
+    try:
+        return bool(ipaddress.IPv4Address(address))
+    except ValueError:
+        return False
+
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a@b.co", "10.1.2.3", "123-45-6789", "ssn=", "secret: ", "x" * 13, " ", ".", "é", "tax id: A1234567", "sk-", "5"]), max_size=14).map("".join))
 def test_redaction_is_the_greedy_set_without_overlaps(text):
-    spans = sorted((m.start(), -(m.end() - m.start()), n) for n, p in sanitize.PATTERNS for m in re.finditer(p, text) if sanitize._usable(n, m.group()))
+    spans = sorted((m.start(), -(m.end() - m.start()), n) for n, p in sanitize.PATTERNS for m in re.finditer(p, text) if n != "ipv4" or usable(m.group()))
     out, at, want = [], 0, ""
     for s, size, n in spans:
         if s >= at:
@@ -164,3 +174,50 @@ def test_file_sources(spark, tmp_path):
     assert (tmp_path / "a.tsv").read_text() == "hello"
     with pytest.raises(ValueError):
         T.unpack_member(str(tmp_path / "z.zip"), "b.tsv", str(tmp_path / "b"))
+
+
+def test_closed_schema_at_the_scan(spark, tmp_path):
+    good = {"doc_id": "d", "title": "t", "text": "x", "metadata": {"source_uri": "u", "author": "a", "classification_level": "public", "language": "en"}}
+    rows = [good, good | {"colour": 1}, good | {"metadata": good["metadata"] | {"mood": "ok"}}]
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    (tmp_path / "r.json").write_text(json.dumps(rows))
+    for name in ("r.jsonl", "r.json"):
+        df = T.read_records(spark, str(tmp_path / name))
+        checked = contract.validate(df, extra=F.col("extra")).orderBy("record_number").collect()
+        assert [[(e.field, e.rule) for e in r.errors] for r in checked] == [[], [("colour", "extra")], [("metadata.mood", "extra")]]
+
+
+def test_relevant_ids_keep_the_files_order(spark, tmp_path):
+    (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\n1\tz\t1\n1\ta\t1\n1\tz\t1\n1\tn\t0\n")
+    queries = spark.createDataFrame([("1", "x")], "query_id string, text string")
+    assert T.evaluation_catalog(T.read_qrels(spark, str(tmp_path / "q.tsv")), queries).first().relevant_doc_ids == ["z", "a", "z"]
+
+
+def test_chunks_by_a_tokenizer_plug(spark):
+    from strataloom.operators.chunking import ChunkStrategy, chunk_documents
+
+    df = spark.createDataFrame([("d", "abcdefg"), ("e", ""), ("f", None)], "doc_id string, text string")
+    got = chunk_documents(df, ChunkStrategy("c", "1", 3, 1), tokenize=lambda texts: [[*t] for t in texts], joiner="").collect()
+    assert [(r.doc_id, r.chunk_index, r.chunk_text, r.token_start) for r in got] == [("d", 0, "abc", 0), ("d", 1, "cde", 2), ("d", 2, "efg", 4)]
+
+
+def test_sanitize_query_equals_brute_force(spark):
+    import pandas as pd
+
+    from strataloom.operators import sanitize
+    from strataloom.plans.domain_queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    records = pd.read_parquet(f"{folder}/document_records.parquet").drop_duplicates(["doc_id", "doc_version"])
+    want, totals = {}, {}
+    for r in records.itertuples():
+        counts: dict = {}
+        for text in (r.title, r.text):
+            for name, n in (sanitize.redact(text)[1] if text is not None else {}).items():
+                counts[name] = counts.get(name, 0) + n
+        want[r.doc_id, r.doc_version] = counts
+        for name, n in counts.items():
+            totals[name] = totals.get(name, 0) + n
+    got = QUERIES["sanitize_documents"](spark, folder).collect()
+    assert {(r.doc_id, r.doc_version): json.loads(r.redaction_counts) for r in got} == want and all(r.pii_masked_flag == bool(want[r.doc_id, r.doc_version]) for r in got)
+    assert {r.category: r.n for r in QUERIES["sanitize_totals"](spark, folder).collect()} == totals

@@ -19,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataloom.session import cut_lineage
+
 #: Columns in order, with the least and the largest length in characters.
 COLUMNS = ("doc_id", "title", "text", "source_uri", "author", "classification_level", "language")
 LENGTHS = {"doc_id": (1, 256), "title": (1, 1000), "text": (1, None), "source_uri": (1, 2048), "author": (1, 512)}
@@ -157,3 +159,74 @@ def parse_rows(df: DataFrame, feeds: DataFrame, key: str = "record_id", feed: st
 def split_valid(parsed: DataFrame, key: str = "record_id", contract: Contract = Contract()) -> tuple[DataFrame, DataFrame]:
     """The valid records, and the rejected rows with their reason."""
     return parsed.filter("reason is null").select(key, *contract.columns), parsed.filter("reason is not null").select(key, "reason")
+
+
+def _raw(path: str, low: int, high: int) -> bytes:
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    with system.open_input_file(place) as f:
+        f.seek(low)
+        return f.read(high - low)
+
+
+def read_records_of_files(spark: SparkSession, path: str, quote: str | None = '"', range_bytes: int = 32 << 20) -> DataFrame:
+    """(path, offset, raw_line): the records of delimited UTF-8 files, whose fields may hold line breaks in quotes.
+
+    Workers read byte ranges. A first pass counts each range's quotes; prefix sums of them, one number a range, give the
+    parity at each range's start. With it a range's quote mask tells which line breaks end a record. A record belongs to
+    the range that it begins in, which reads on to its end. A quote that is never closed runs to the end of its file."""
+    mark = quote.encode() if quote else None
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
+    n = F.ceil(F.col("size") / range_bytes).cast("int")
+    ranges = listed.select("path", "size", F.explode(F.sequence(F.lit(0), n - 1)).alias("range_no")).repartition("path", "range_no")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_raw(r["path"], r["range_no"] * range_bytes, min(r["size"], (r["range_no"] + 1) * range_bytes)).count(mark) if mark else 0 for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "quotes"])
+
+    counted = cut_lineage(ranges.mapInArrow(count, "path string, size bigint, range_no int, quotes bigint"))
+    before = F.sum("quotes").over(Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    known = counted.select("path", "size", "range_no", F.coalesce(before, F.lit(0)).alias("before"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from records(r["path"], r["size"], r["range_no"] * range_bytes, r["before"])
+
+    def ends_of(raw: bytes, parity: int) -> np.ndarray:
+        """Places of the line breaks outside quotes."""
+        data = np.frombuffer(raw, np.uint8)
+        breaks = np.flatnonzero(data == 10)
+        if mark is None:
+            return breaks
+        seen = np.concatenate([[parity], parity + np.cumsum(data == mark[0])])
+        return breaks[seen[breaks] % 2 == 0]
+
+    def records(path: str, size: int, offset: int, before: int) -> Iterator[pa.RecordBatch]:
+        high = min(size, offset + range_bytes)
+        low = max(0, offset - 1)  # a line break right before the range begins a record in it
+        raw = _raw(path, low, high)
+        if offset and mark and raw[:1] == mark:
+            before -= 1  # that byte's quote is counted already
+        ends = ends_of(raw, before)
+        starts = np.concatenate([[0] if not offset else [], ends + 1]).astype(np.int64)
+        starts = starts[starts + low < high]
+        if not len(starts):
+            return
+        parity = before + (raw.count(mark) if mark else 0)
+        while not len(ends) or ends[-1] < starts[-1]:  # the last record goes on
+            more = _raw(path, high, min(size, high + (1 << 20)))
+            if not more:
+                ends = np.append(ends, len(raw))
+                break
+            found = ends_of(more, parity)
+            ends = np.append(ends, found[:1] + len(raw))
+            parity += more.count(mark) if mark else 0
+            raw, high = raw + more, high + len(more)
+        stops = ends[np.searchsorted(ends, starts)]
+        lines = [raw[a:b].removesuffix(b"\r").decode("utf-8", "replace") for a, b in zip(starts.tolist(), stops.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), pa.array(starts + low), pa.array(lines, pa.string())], ["path", "offset", "raw_line"])
+
+    return known.mapInArrow(cut, "path string, offset bigint, raw_line string")

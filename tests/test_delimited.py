@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from strataloom.sources import delimited as D
 from strataloom.sources.delimited import ALLOWED, COLUMNS, LENGTHS, Contract, check_rows, parse_rows, split_valid
 
 
@@ -95,3 +96,20 @@ def test_every_row_of_a_table(spark):
         want[k] = judge(t, *feeds.get(f, (",", '"')))[0] if t is not None else "column_count"
     assert {r.record_id: r.reason for r in p4_found(spark, folder).collect()} == {k: v for k, v in want.items() if v}
     assert p4_valid(spark, folder).count() == sum(v is None for v in want.values())
+
+
+@pytest.mark.parametrize("range_bytes", [1, 7, 64, 1 << 20])
+def test_record_ends_across_byte_ranges(spark, tmp_path, range_bytes):
+    rows = ['a,"b\nc",d', '"x""\n""y",2', "plain,é漢", "", '"only\nquoted\r\nlines"', "last"]
+    (tmp_path / "one.csv").write_bytes("\n".join(rows).encode())
+    (tmp_path / "two.csv").write_bytes(("\r\n".join(["p,q", '"r\r\ns"']) + "\r\n").encode())
+    got = D.read_records_of_files(spark, f"{tmp_path}/*.csv", range_bytes=range_bytes).orderBy("path", "offset").collect()
+    assert [r.raw_line for r in got if r.path.endswith("one.csv")] == rows
+    assert [r.raw_line for r in got if r.path.endswith("two.csv")] == ["p,q", '"r\r\ns"']
+    assert [r.raw_line for r in D.read_records_of_files(spark, f"{tmp_path}/two.csv", quote=None, range_bytes=range_bytes).orderBy("offset").collect()] == ["p,q", '"r', 's"']
+
+
+def test_feed_that_quotes_nothing(spark):
+    rows = spark.createDataFrame([(1, "f", 'd,"t,x,u,a,public,en'), (2, "f", 'd,t"x,"y",u,a,public,en')], "record_id long, feed string, raw_line string")
+    feeds = spark.createDataFrame([("f", ",", None)], "feed string, delimiter string, quote_char string")
+    assert {r.record_id: (r.reason, r.title) for r in D.parse_rows(rows, feeds).collect()} == {1: (None, '"t'), 2: (None, 't"x')}

@@ -102,7 +102,12 @@ def load_pairs(path: str) -> PairTable:
         byte_ids[byte] = vocab[letter]
     left = np.array([vocab[a] for a, _ in merges], np.int32)
     right = np.array([vocab[b] for _, b in merges], np.int32)
-    return PairTable.of(byte_ids, left, right, np.array([vocab[a + b] for a, b in merges], np.int32))
+    merged = np.array([vocab[a + b] for a, b in merges], np.int32)
+    made = np.full(len(vocab) + 1, -1, np.int64)  # the merge that makes a token, -1 for bytes
+    made[merged[::-1]] = np.arange(len(merged))[::-1]
+    if (np.maximum(made[left], made[right]) >= np.arange(len(merged))).any():
+        raise ValueError(f"{path}: a merge comes before one that makes its parts, so wide rows may not be merged at once")
+    return PairTable.of(byte_ids, left, right, merged)
 
 
 def merge_matrix(rows: np.ndarray, table: PairTable) -> list[np.ndarray]:

@@ -46,11 +46,12 @@ _LINES = f"""CASE WHEN len({_PARTS}) > 0 AND len(list_filter({_PARTS}, lambda p:
 _JSON = f"""CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' AND len(json_keys(t)) > 0 THEN list_sort(list_distinct(list_transform(json_keys(t), lambda k: {_sql_pair('k', "coalesce(json_extract_string(t, '$.\"' || k || '\"'), '')")}))) END"""
 
 #: The same classes in SQL: words in order, folded by the set of fields where a text is nothing else.
-ORACLES = {
-    "p1_found": rf"""
+_CLASSES = rf"""
         WITH x AS (SELECT DISTINCT 'chunks' AS s, chunk_id AS k, chunk_text AS t FROM chunks UNION SELECT 'documents', doc_id::VARCHAR, text FROM documents),
         w AS (SELECT s, k, {_sql_words('t')} AS w, CASE WHEN regexp_matches(t, '(?s)^\s*\{{\s*".*\}}\s*$') THEN coalesce({_JSON}, {_LINES}) WHEN regexp_matches(t, '(?s)^[^\p{{L}}\p{{N}}:=]*{_NAME}[^\p{{L}}\p{{N}}:=]*[:=]') THEN {_LINES} END AS f FROM x WHERE regexp_matches(t, '[\p{{L}}\p{{N}}]')),
-        c AS (SELECT s, k, coalesce(min(array_to_string(f, chr(10))) OVER (PARTITION BY s, w), chr(1) || w) AS c FROM w),
-        m AS (SELECT s, k, min(k) OVER (PARTITION BY s, c) AS first FROM c)
+        c AS (SELECT s, k, coalesce(min(array_to_string(f, chr(10))) OVER (PARTITION BY s, w), chr(1) || w) AS c FROM w)"""
+ORACLES = {
+    "p1_found": f"""{_CLASSES}, m AS (SELECT s, k, min(k) OVER (PARTITION BY s, c) AS first FROM c)
         SELECT DISTINCT s AS source_table, first AS keep_key, k AS copy_key FROM m WHERE k <> first""",
+    "p1_entries": f"{_CLASSES} SELECT s AS source_table, min(k) AS keep_key, count(*) AS copies FROM c GROUP BY s, c",
 }

@@ -359,7 +359,7 @@ def _pieces(tables: DataFrame, names: list[str], strategies: list[Strategy], onl
     several = scanned.filter("n_ranges > 1").join(carries(scanned, names, overlap), [*names, "range_no"])
     columns = [*names, *_NAMES[TABLE], *(n for n in _NAMES[CARRY] if n != "range_no")]
     both = alone.select(*columns).unionByName(several.select(*columns))
-    pieces = stitched(pieces_in(both, names, strategies, only_cut), names, strategies)
+    pieces = stitched(write_shared(pieces_in(both, names, strategies, only_cut)), names, strategies)  # read twice
     return pieces.dropDuplicates([*names, "strategy_name", "strategy_version", "piece_no"])
 
 

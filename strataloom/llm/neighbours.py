@@ -41,7 +41,7 @@ HOME = 13  # bits: nodes of a home are at most 2 ** HOME
 PART_NODES = 5000  # nodes of a partition while there are few
 DEGREE = 48  # links of a node that a search follows, either way, the most similar ones
 ENTRIES, MOST_ENTRIES = 1024, 65_536  # nodes of a group among which the starts of a search are chosen, and of all groups
-CELL_NODES, MOST_CELLS, SAMPLE, MOST_GROUPS = 500, 1024, 16_384, 10_000
+CELL_NODES, MOST_CELLS, SAMPLE, MOST_GROUPS = 20_000, 1024, 16_384, 10_000
 SECOND = 1 << 40  # marks places by second cell and second code
 MARGIN = 0.02  # how far a one-byte cosine may be off
 SAME = 1 - 1e-12  # cosines from here on are those of one direction

@@ -53,5 +53,5 @@ def test_vectors_of_nulls_only(spark):
     nodes = neighbours.nodes_of(usable)
     graph = neighbours.neighbour_graph(nodes)
     assert neighbours.ranked(usable, nodes, graph).count() == 0
-    asked = usable.select(F.col("vector_id").alias("query"), "grp", "vec")
-    assert neighbours.greedy_search(graph, nodes, asked).count() == 0
+    asked = usable.select(F.col("vector_id").alias("query"), "grp", "small", "vec")
+    assert neighbours.greedy_search(graph, nodes, usable, asked).count() == 0
